@@ -55,3 +55,56 @@ class TwoGenerations:
         self.old: dict = {}
         self.young = Young()
         self.get = self.young.__getitem__
+
+
+def fit_rows(docs: DataFrame, labels: DataFrame, label: str, held: Column, per_class: int, chars: int) -> list[tuple[str, int]]:
+    """Labelled texts to fit on: (text, label), at most ``per_class`` documents of each class and ``chars`` of each.
+
+    Documents come in the order of a hash of their id; ``held`` marks rows that may not be learnt
+    from. Rows without a label, and ids whose labels differ, are left out. Of a text longer than
+    ``chars`` a part is taken whose place is hashed as well.
+    """
+    sure = labels.where(~held).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z AND y IN (0, 1)")
+    order = F.xxhash64("doc_id")
+    some = [sure.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class).select("doc_id", F.col("y").cast("int").alias("y")) for y in (0, 1)]
+    chosen = F.broadcast(some[0].unionByName(some[1]))  # per_class ids a class
+    text = text_of(docs)
+    place = F.pmod(order, F.greatest(F.char_length(text) - chars, F.lit(0)) + 1).cast("int") + 1
+    rows = docs.select("doc_id", F.substring(text, place, F.lit(chars)).alias("text")).join(chosen, "doc_id").orderBy(order, "doc_id", "text")
+    return [(r["text"], r["y"]) for r in rows.limit(4 * per_class).collect()]
+
+
+def held_out(modulus: int, remainder: int) -> Column:
+    """Rows whose CRC-32 of the id as text has this remainder."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
+
+
+class Calibrated:
+    """A logistic curve over a few features, fitted by Newton steps with a light ridge."""
+
+    def __init__(self, x, y, share: float | None = None):
+        import numpy as np
+
+        x, y = np.asarray(x, float), np.asarray(y, float)
+        self.constant = float(y.mean()) if len(y) else 0.5
+        self.fitted = 0 < y.sum() < len(y)
+        if not self.fitted:
+            return
+        share = y.mean() if share is None else share
+        w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+        self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
+        z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
+        b = np.zeros(z.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(z @ b, -40, 40)))
+            h = (z * (w * p * (1 - p) + 1e-9)[:, None]).T @ z + 1e-2 * np.eye(len(b))
+            b += np.clip(np.linalg.solve(h, z.T @ (w * (y - p)) - 1e-2 * b), -5, 5)
+        self.weights = b
+
+    def score(self, x):
+        import numpy as np
+
+        if not self.fitted:
+            return np.full(len(x), self.constant)
+        z = np.c_[(np.asarray(x, float).reshape(-1, len(self.mean)) - self.mean) / self.scale, np.ones(len(x))]
+        return 1 / (1 + np.exp(-np.clip(z @ self.weights, -40, 40)))

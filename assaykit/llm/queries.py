@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, packing
+from . import byte_bpe, chat_format, packing, quality, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op6_chat_formatting": chat_format.op6_chat_formatting,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
 }
 ORACLE_SQL = {"op6_chat_formatting": chat_format.OP6_SQL}
