@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, packing, quality, toxicity
+from . import byte_bpe, chat_format, hilbert_ann, packing, quality, top_k, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
@@ -10,5 +10,7 @@ QUERIES = {
     "op6_chat_formatting": chat_format.op6_chat_formatting,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_hilbert_ann": hilbert_ann.op9_hilbert_ann,
+    "op10_exact_top_k": top_k.op10_exact_top_k,
 }
-ORACLE_SQL = {"op6_chat_formatting": chat_format.OP6_SQL}
+ORACLE_SQL = {"op6_chat_formatting": chat_format.OP6_SQL, "op10_exact_top_k": top_k.OP10_SQL}
