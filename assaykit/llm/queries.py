@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, hilbert_ann, packing, quality, top_k, toxicity
+from . import byte_bpe, chat_format, hilbert_ann, ngram_lm, packing, quality, top_k, toxicity
 
 QUERIES = {
+    "op1_lm_scoring": ngram_lm.op1_lm_scoring,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op6_chat_formatting": chat_format.op6_chat_formatting,
@@ -13,4 +14,8 @@ QUERIES = {
     "op9_hilbert_ann": hilbert_ann.op9_hilbert_ann,
     "op10_exact_top_k": top_k.op10_exact_top_k,
 }
-ORACLE_SQL = {"op6_chat_formatting": chat_format.OP6_SQL, "op10_exact_top_k": top_k.OP10_SQL}
+ORACLE_SQL = {
+    "op1_lm_scoring": ngram_lm.OP1_SQL,
+    "op6_chat_formatting": chat_format.OP6_SQL,
+    "op10_exact_top_k": top_k.OP10_SQL,
+}
