@@ -153,8 +153,6 @@ def common_shingles(texts: DataFrame) -> Weights:
                 seen += own
             keys, count = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, np.uint64), np.empty(0, np.int64))
             often = count >= RARE / 2 * n
-            if n < 2 / RARE:  # too few to tell: what occurs once is left to the lower bound of the others
-                often &= count > 1
             made = [pa.array([None, *keys[often].view(np.int64).tolist()], pa.int64()), pa.array([n, *count[often].tolist()], pa.int64())]
             yield pa.RecordBatch.from_arrays(made, ["h", "n"])
 
