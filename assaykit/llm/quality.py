@@ -81,12 +81,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, held: Column, threshold: f
     def run(batches):
         sizes = Sizes(good, bad)
         for batch in batches:
-            score = curve.score([sizes.features(t) for t in batch.column(len(keep)).to_pylist()] or np.empty((0, 2)))
+            score = curve.score([sizes.features(t) for t in batch.column("text").fill_null("").to_pylist()] or np.empty((0, 2)))
             columns = [*batch.columns[: len(keep)], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "predicted"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, text_of(docs).alias("__text")).mapInArrow(run, f"{kinds}, score double, predicted int")
+    source = docs.select(*keep) if "text" in keep else docs.select(*keep, text_of(docs).alias("text"))
+    return source.mapInArrow(run, f"{kinds}, score double, predicted int")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,7 +306,10 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
 
 
 def split_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
-    """The columns ``keep`` of every document with its remaining bytes and the removed spans; or their digests."""
+    """The columns ``keep`` of every document with the text left and the removed spans of bytes; or their digests.
+
+    A character that a span cuts in two is left out of the text; digests take bytes.
+    """
     # What repeats in a text depends on the text alone, so rows with equal keys and texts may share spans.
     text = text_of(docs)
     keyed = docs.select(*keep, F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("__id"), F.xxhash64(text).alias("__mark"), text.alias("__text"))
@@ -320,14 +323,14 @@ def split_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] =
                 data = text.encode("utf-8")
                 spans = merged([(s["a"], s["b"]) for s in found or ()])
                 kept = b"".join(data[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(data)], strict=True))
-                rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) if digests else (kept, [{"a": a, "b": b} for a, b in spans]))
+                rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) if digests else (kept.decode("utf-8", "ignore"), [{"a": a, "b": b} for a, b in spans]))
             columns = list(zip(*rows, strict=True)) or [()] * (4 if digests else 2)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string()) if digests else (pa.binary(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string()) if digests else (pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digests else ["kept", "removed"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*keep, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    out = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digests else "kept binary, removed array<struct<a:int,b:int>>"
+    out = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digests else "kept string, removed array<struct<a:int,b:int>>"
     return keyed.join(spans, ["__id", "__mark"], "left").mapInArrow(run, f"{kinds}, {out}")
 
 

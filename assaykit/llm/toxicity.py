@@ -182,12 +182,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held: Column, threshold:
     def run(batches):
         reader = Reader(number, bias)
         for batch in batches:
-            score = curve.score(reader.features(batch.column(len(keep)).to_pylist()))
+            score = curve.score(reader.features(batch.column("text").fill_null("").to_pylist()))
             columns = [*batch.columns[: len(keep)], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "predicted"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, text_of(docs).alias("__text")).mapInArrow(run, f"{kinds}, score double, predicted int")
+    source = docs.select(*keep) if "text" in keep else docs.select(*keep, text_of(docs).alias("text"))
+    return source.mapInArrow(run, f"{kinds}, score double, predicted int")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

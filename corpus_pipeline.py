@@ -1,16 +1,76 @@
-"""A training-corpus pipeline over the documents table; see STAGES."""
+"""A training-corpus pipeline over the documents table.
+
+Quality classifier, toxicity classifier, near-duplicate classes (one document of each stays),
+removal of byte strings that repeat across documents, and packing into sequences. Each stage
+works on all that the one before kept. SQL cannot express the stages, so there is no ORACLE_SQL;
+tests hold them against brute force on small tables.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from assaykit.llm import near_dup, packing, quality, suffix_dedup, toxicity
+from assaykit.llm.common import cut, held_out, read
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+REPEATED_BYTES = 200  #: passages of over 50 words are longer
 ORACLE_SQL = None
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scored = quality.score_quality(docs, read(spark, sf_dir, "labels"), held_out(5, 0), keep=COLUMNS)
+    return scored.where("predicted = 1").select(*COLUMNS)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject."""
+    scored = toxicity.score_toxicity(docs, read(spark, sf_dir, "labels"), held_out(4, 2), keep=COLUMNS)
+    return scored.where("predicted = 0").select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id in each near-duplicate class; of repeated rows one; rows without an id all stay."""
+    classes = near_dup.near_duplicates(docs)
+    gone = classes.where("doc_id <> class_id").select("doc_id")
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return kept
+    named = kept.where("doc_id IS NOT NULL").withColumn("mark", F.xxhash64("text")).dropDuplicates(["doc_id", "mark"]).drop("mark")
+    return named.unionByName(kept.where("doc_id IS NULL"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the strings of REPEATED_BYTES bytes that start elsewhere too; those of which nothing is left go."""
+    split = suffix_dedup.split_repeats(docs, REPEATED_BYTES, keep=("doc_id", "lang", "source", "n_chars", "text"))
+    cut_out = F.size("removed") > 0
+    out = split.withColumn("text", F.when(cut_out, F.col("kept")).otherwise(F.col("text"))).where(~cut_out | (F.trim("text") != ""))
+    return out.select("doc_id", "text", "lang", "source", F.when(cut_out, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences of 1024 ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), payload="ids_crc32")
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("toxicity", not_toxic),
+    ("near_duplicates", one_of_each),
+    ("repeated_passages", without_repeats),
+    ("packing", packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a data folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents of a data folder; each stage's rows are kept in the shared checkpoint folder."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
     return docs
