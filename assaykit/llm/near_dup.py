@@ -12,9 +12,10 @@ Shares over RARE are exact: first each block of documents names the shingles in
 RARE / 2 of it, of which at most 2 / RARE times a document's mean shingles can matter; then these are counted.
 
 Equal bags are one node, however many copies there are. Inside a bucket nobody is compared with
-everybody: a leader is compared with the members not yet connected to it, then retires; the
-next leader follows while a bucket's members are in several classes. As a retired leader has met
-all that it was not connected to, no link of a bucket is lost.
+everybody: a few leaders, those that share most buckets with others, are compared with the
+members not yet connected to them, then retire; more leaders follow while a bucket's members are
+in several classes. As a retired leader has met all that it was not connected to, no link of a
+bucket is lost. Pairs whose total weights alone rule out the similarity are not compared.
 
 Defined results: words are lower-cased text between white space; documents without words
 (null, empty) are classes of their own; equal texts and repeated rows share a class; a class is
@@ -29,7 +30,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import cut, read, text_of
 from .ngram_lm import ODD, mix
@@ -37,6 +38,7 @@ from .ngram_lm import ODD, mix
 WORDS, SIMILARITY, RARE = 5, 0.8, 1e-3
 BANDS, ROWS = 16, 4
 TABLE = 1 << 14
+LEADERS = (2, 16, 64, 256, 1024, 4096)  #: leaders of a bucket, round by round; the last number repeats
 ROUNDS = 40
 
 
@@ -204,18 +206,21 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     def sample(batches):
         sampler = Sampler()
         for batch in batches:
-            rows, nodes, bands = batch.column("text").to_pylist(), [], []
+            rows, nodes, bands, totals = batch.column("text").to_pylist(), [], [], []
             for a, b in chunks(rows):
                 for hashes, count in bags(rows[a:b]):
+                    weight = count * weights.of(hashes)
                     nodes.append(xxhash.xxh3_128_digest(hashes.tobytes() + count.tobytes()) if len(hashes) else None)
-                    bands.append(sampler.bands(hashes, count * weights.of(hashes)).view(np.int64) if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+                    bands.append(sampler.bands(hashes, weight).view(np.int64) if len(hashes) else None)
+                    totals.append(float(weight.sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(totals)], ["doc_id", "node", "bands", "total"])
 
-    sampled = cut(texts.mapInArrow(sample, "doc_id long, node binary, bands array<long>"))
-    nodes = sampled.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    banded = nodes.select("node", "doc_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    active = cut(banded.join(shared, "band", "left_semi"))
+    sampled = cut(texts.mapInArrow(sample, "doc_id long, node binary, bands array<long>, total double"))
+    nodes = sampled.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("total").alias("total"))
+    banded = nodes.select("node", "doc_id", "total", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    active = cut(banded.join(shared, "band"))
+    active = cut(active.join(active.groupBy("node").agg(F.sum("n").alias("met")), "node").drop("n"))
 
     def bag_of(batches):
         for batch in batches:
@@ -242,22 +247,26 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     pairs_bags = texts.join(wanted.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text").mapInArrow(bag_of, "node binary, hashes array<long>, counts array<int>")
     vectors = cut(pairs_bags.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     links, label = None, None
-    active = active.select("band", "node")
-    for _ in range(ROUNDS):
-        named = active.withColumn("label", F.col("node")) if label is None else active.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        first = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("node").alias("by"), "node", "label")).alias("leader")).where("low <> high")
-        met = cut(named.join(first.select("band", F.col("leader.node").alias("leader"), F.col("leader.label").alias("its")), "band"))
-        pairs = met.where("label <> its").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    active = active.select("band", "node", "total", "met")
+    for k in range(ROUNDS):
+        named = active.withColumn("label", F.col("node")) if label is None else active.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+        open_ = cut(named.join(several, "band", "left_semi"))
+        if open_.isEmpty():
+            break
+        order = Window.partitionBy("band").orderBy(F.desc("met"), F.xxhash64("node"), "node")
+        leaders = open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS[min(k, len(LEADERS) - 1)])
+        leaders = leaders.select("band", F.col("node").alias("u"), F.col("label").alias("its"), F.col("total").alias("other"))
+        met = open_.join(leaders, "band").where((F.col("label") != F.col("its")) & (F.least("total", "other") >= (threshold - 1e-9) * F.greatest("total", "other")))
+        pairs = met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
         one = vectors.select(F.col("node").alias("v"), "hashes", "counts")
         other = vectors.select(F.col("node").alias("u"), F.col("hashes").alias("other_hashes"), F.col("counts").alias("other_counts"))
         found = cut(pairs.join(one, "v").join(other, "u").mapInArrow(compare, "u binary, v binary"))
-        if met.isEmpty():
-            break
         links = found if links is None else links.unionByName(found)
         label = components(links)
-        active = met.where("node <> leader").select("band", "node")
+        active = open_.drop("label").join(leaders.select("band", F.col("u").alias("node")), ["band", "node"], "left_anti")
     else:
-        raise RuntimeError(f"a bucket has members of several classes after {ROUNDS} leaders")
+        raise RuntimeError(f"a bucket has members of several classes after {ROUNDS} rounds of leaders")
     named = sampled.select("doc_id", "node")
     if label is not None:
         named = named.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("node"))
