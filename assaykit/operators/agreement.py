@@ -13,7 +13,7 @@ def wilson(successes: Column, total: Column, z: float = WILSON_Z) -> tuple[Colum
     wide = 1 + F.try_divide(F.lit(z * z), total)
     centre = p + F.try_divide(F.lit(z * z), 2 * total)
     reach = z * F.sqrt(F.try_divide(p * (1 - p), total) + F.try_divide(F.lit(z * z), 4 * total * total))
-    low, high = F.try_divide(centre - reach, wide), F.try_divide(centre + reach, wide)
+    low, high = F.try_divide(centre - reach, wide), F.when(successes == total, 1.0).otherwise(F.try_divide(centre + reach, wide))
     return F.when(total > 0, F.greatest(F.lit(0.0), low)), F.when(total > 0, F.least(F.lit(1.0), high))
 
 
