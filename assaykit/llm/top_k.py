@@ -13,7 +13,7 @@ by query. Query blocks meet row blocks, so neither a driver nor a task holds a w
 Components are turned into whole numbers first, so sums are exact. Defined results: vectors
 null or with null or non-finite components take no part, nor do rows without an id; shorter
 vectors count as filled up with zeros; a query without candidates has no rows; ties go to
-the smaller id; repeated (id, vector) rows count once and rows of the query's own id are no
+the smaller id; scores beyond 64 bits become the nearest 64-bit number; repeated (id, vector) rows count once and rows of the query's own id are no
 candidates; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -28,7 +28,7 @@ from .vectors import best_per_query, matrix, same_width, usable
 
 BLOCK = 16_384
 DEPTHS = (1 / 4, 1 / 2, 1.0)
-EXACT = 1 << 53
+EXACT, LONG = 1 << 53, (1 << 63) - 1
 
 
 class Lists:
@@ -95,7 +95,7 @@ def _whole_numbers(queries, rows, query_ids, row_ids, k):
     whole = [[int(v) for v in r] for r in rows]
     for q, i in zip(queries, query_ids, strict=True):
         q = [int(v) for v in q]
-        scored = sorted((-sum(a * b for a, b in zip(q, r, strict=True)), int(j)) for r, j in zip(whole, row_ids, strict=True) if j != i)
+        scored = sorted((-max(-LONG, min(LONG, sum(a * b for a, b in zip(q, r, strict=True)))), int(j)) for r, j in zip(whole, row_ids, strict=True) if j != i)
         out += [(int(i), j, -s) for s, j in scored[:k]]
     return out
 
