@@ -35,8 +35,8 @@ def uniform_spans(frames: Column, phones: Column) -> Column:
 
     def span(k):
         start = F.least(F.floor(k * frames / phones), frames - 1)
-        end = F.greatest(F.ceil((k + 1) * frames / phones), start + 1)
-        return F.struct(start.cast("int").alias("start"), F.least(end, frames).cast("int").alias("end"))
+        end = F.greatest(F.floor((k + 1) * frames / phones), start + 1)
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
     return F.when((frames > 0) & (phones > 0), F.transform(F.sequence(F.lit(0), phones - 1), span))
 

@@ -13,7 +13,7 @@ def uniform(frames: int, phones: int) -> list[tuple[int, int]]:
     out = []
     for k in range(phones):
         a = min(k * frames // phones, frames - 1)
-        out.append((a, max(a + 1, min(-(-(k + 1) * frames // phones), frames))))
+        out.append((a, max(a + 1, (k + 1) * frames // phones)))
     return out
 
 

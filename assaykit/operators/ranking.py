@@ -116,7 +116,7 @@ def pack_batches(rows: DataFrame, key: str, duration: str, budget: float, most:
     parts = size.groupBy("__p").agg(F.count(F.lit(1)).alias("s"))
     before = parts.select("__p", (F.sum("s").over(Window.orderBy("__p")) - F.col("s")).alias("b"))
     place = F.row_number().over(Window.partitionBy("__p").orderBy(duration, key)) - 1
-    placed = size.withColumn("i", place).join(before, "__p").withColumn("bucket", F.floor((F.col("i") + F.col("b")) / bucket))
+    placed = size.withColumn("__i", place).join(before, "__p").withColumn("bucket", F.floor((F.col("__i") + F.col("b")) / bucket))
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (key, duration))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:

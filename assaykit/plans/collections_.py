@@ -222,7 +222,7 @@ def constrained_alignment(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT doc_id, 1 + n_chars % 37 AS f, 1 + n_chars % 5 AS n FROM documents), k AS (SELECT doc_id, f, n, unnest(range(0, n)) AS k FROM d), s AS (SELECT doc_id, k, f, n, least(k * f // n, f - 1) AS a FROM k)
-SELECT doc_id, k::INTEGER AS phone, a::INTEGER AS start, least(greatest(((k + 1) * f + n - 1) // n, a + 1), f)::INTEGER AS "end" FROM s""")
+SELECT doc_id, k::INTEGER AS phone, a::INTEGER AS start, greatest((k + 1) * f // n, a + 1)::INTEGER AS "end" FROM s""")
 def uniform_spans(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", (1 + F.col("n_chars") % 37).cast("int").alias("f"), (1 + F.col("n_chars") % 5).cast("int").alias("n"))
     return d.select("doc_id", F.posexplode(arrays.uniform_spans(F.col("f"), F.col("n"))).alias("phone", "s")).select("doc_id", "phone", "s.start", "s.end")

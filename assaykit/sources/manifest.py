@@ -46,7 +46,7 @@ def manifest(spark: SparkSession, path: str, strict: bool = True, phones: tuple[
     text = F.col("record.text")
     bad = {
         "unsafe audio path": ~safe_relative(F.col("record.audio_path"), r"\.wav"),
-        "text not trimmed or empty": text.isNull() | (text == "") | (F.trim(F.lit(" \t\r\n"), text) != text),
+        "text not trimmed or empty": text.isNull() | (text == "") | (F.trim(text, F.lit(" \t\r\n")) != text),
         "no phonemes": p.isNull() | (F.size(p) == 0),
         "unknown phone": F.exists(p, lambda x: x.isNull() | x["phoneme"].isNull() | ~F.array_contains(known, x["phoneme"])),
         "label outside the scale": F.exists(p, lambda x: x.isNull() | x["label"].isNull() | ~x["label"].isin(*LABELS)) | F.col("value").rlike(r'"label"\s*:\s*(true|false|"|\d+\.)'),
@@ -58,7 +58,7 @@ def manifest(spark: SparkSession, path: str, strict: bool = True, phones: tuple[
     rows = rows.withColumn("record_index", index).select("record_index", "record.*", "file", "line", "problems")
     if strict:
         message = F.concat(F.lit("line "), F.col("line"), F.lit(": "), F.array_join("problems", "; "))
-        rows = rows.withColumn("problems", F.when(F.size("problems") > 0, F.raise_error(message).cast("array<string>")).otherwise(F.col("problems")))
+        rows = rows.where(F.when(F.size("problems") > 0, F.raise_error(message).cast("boolean")).otherwise(True))  # a filter is never pruned
     return rows
 
 
@@ -88,5 +88,6 @@ def tolerant_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> Data
     rows = strict_json(numbered_lines(spark, path), schema, ())
     last = F.max("line").over(Window.partitionBy("file")) == F.col("line")
     bad = F.array_contains("problems", "invalid JSON")
-    kept = rows.where(~(bad & last))
-    return kept.select("line", F.when(F.array_contains("problems", "invalid JSON"), F.raise_error(F.concat(F.lit("bad line "), F.col("line"))).cast("int")).alias("__e"), "record.*").drop("__e")
+    kept = rows.withColumn("last", last).where(~(bad & F.col("last")))
+    kept = kept.where(F.when(bad, F.raise_error(F.concat(F.lit("bad line "), F.col("line"))).cast("boolean")).otherwise(True))
+    return kept.select("line", "record.*")
