@@ -15,7 +15,7 @@ Equal bags are one node, however many copies there are. Inside a bucket nobody i
 everybody: a few leaders, those that share most buckets with others, are compared with the
 members not yet connected to them, then retire; more leaders follow while a bucket's members are
 in several classes. As a retired leader has met all that it was not connected to, no link of a
-bucket is lost. Pairs whose total weights alone rule out the similarity are not compared.
+bucket is lost. Before that, each node meets the one leader that shares most buckets. Pairs whose total weights alone rule out the similarity are not compared.
 
 Defined results: words are lower-cased text between white space; documents without words
 (null, empty) are classes of their own; equal texts and repeated rows share a class; a class is
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import cut, read, text_of
-from .ngram_lm import ODD, mix
+from .ngram_lm import ODD, mix, slices
 
 WORDS, SIMILARITY, RARE = 5, 0.8, 1e-3
 BANDS, ROWS = 16, 4
@@ -145,6 +145,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def common_shingles(texts: DataFrame) -> Weights:
     """The weights: exact document counts of every shingle in a share of RARE or more of the documents."""
+    total = texts.where(F.col("text").rlike(r"(?U)\S")).count()
+    parts = max(1, total // 5000)
 
     def local(batches):
         for batch in batches:
@@ -155,12 +157,21 @@ def common_shingles(texts: DataFrame) -> Weights:
                 seen += own
             keys, count = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, np.uint64), np.empty(0, np.int64))
             often = count >= RARE / 2 * n
-            made = [pa.array([None, *keys[often].view(np.int64).tolist()], pa.int64()), pa.array([n, *count[often].tolist()], pa.int64())]
-            yield pa.RecordBatch.from_arrays(made, ["h", "n"])
-
-    named = cut(texts.select("text").mapInArrow(local, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    total = (named.where("h IS NULL").first() or {"n": 0})["n"]
-    wanted = np.sort(np.array([r["h"] for r in named.where(F.col("h").isNotNull() & (F.col("n") >= RARE / 2 * total) & (F.col("n") > 1)).collect()], np.int64).view(np.uint64))
+            keys, count = keys[often], count[often]
+            sent = [(k, keys[a:b].tobytes(), count[a:b].astype("<u4").tobytes()) for k, a, b in slices(keys, parts)]
+            columns = list(zip(*sent, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["part", "keys", "counts"])
+
+    def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()])
+        count = np.concatenate([np.frombuffer(c, "<u4") for c in table.column("counts").to_pylist()])
+        keys, place = np.unique(keys, return_inverse=True)
+        count = np.bincount(place, count)
+        keys = keys[(count >= RARE / 2 * total) & (count > 1)]
+        return pa.table([pa.array(keys.view(np.int64))], names=["h"])
+
+    named = texts.select("text").mapInArrow(local, "part int, keys binary, counts binary").groupBy("part").applyInArrow(merge, "h long").collect()
+    wanted = np.sort(np.array([r["h"] for r in named], np.int64).view(np.uint64))
     if not len(wanted):
         return Weights({}, total)
 
@@ -219,8 +230,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     nodes = sampled.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("total").alias("total"))
     banded = nodes.select("node", "doc_id", "total", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    active = cut(banded.join(shared, "band"))
-    active = cut(active.join(active.groupBy("node").agg(F.sum("n").alias("met")), "node").drop("n"))
+    active = cut(banded.join(shared, "band").withColumn("met", F.sum("n").over(Window.partitionBy("node"))).drop("n"))
 
     def bag_of(batches):
         for batch in batches:
@@ -246,10 +256,22 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     wanted = active.select("node", "doc_id").distinct()
     pairs_bags = texts.join(wanted.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text").mapInArrow(bag_of, "node binary, hashes array<long>, counts array<int>")
     vectors = cut(pairs_bags.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    links, label = None, None
     active = active.select("band", "node", "total", "met")
+    near = F.least("total", "other") >= (threshold - 1e-9) * F.greatest("total", "other")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        one = vectors.select(F.col("node").alias("v"), "hashes", "counts")
+        other = vectors.select(F.col("node").alias("u"), F.col("hashes").alias("other_hashes"), F.col("counts").alias("other_counts"))
+        return cut(pairs.join(one, "v").join(other, "u").mapInArrow(compare, "u binary, v binary"))
+
+    # First each node meets one leader, the best of its buckets: that joins most of what belongs together.
+    best = active.groupBy("band").agg(F.max(F.struct("met", F.xxhash64("node").alias("by"), "node", "total")).alias("b"))
+    first = active.join(best, "band").withColumn("other", F.col("b.total")).where((F.col("b.node") != F.col("node")) & near)
+    first = first.groupBy("node").agg(F.max(F.struct("b.met", "b.by", "b.node")).alias("b"))
+    links = linked(first.select(F.col("b.node").alias("u"), F.col("node").alias("v")))
+    label = components(links)
     for k in range(ROUNDS):
-        named = active.withColumn("label", F.col("node")) if label is None else active.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = active.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
         open_ = cut(named.join(several, "band", "left_semi"))
         if open_.isEmpty():
@@ -257,19 +279,16 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         order = Window.partitionBy("band").orderBy(F.desc("met"), F.xxhash64("node"), "node")
         leaders = open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS[min(k, len(LEADERS) - 1)])
         leaders = leaders.select("band", F.col("node").alias("u"), F.col("label").alias("its"), F.col("total").alias("other"))
-        met = open_.join(leaders, "band").where((F.col("label") != F.col("its")) & (F.least("total", "other") >= (threshold - 1e-9) * F.greatest("total", "other")))
+        met = open_.join(leaders, "band").where((F.col("label") != F.col("its")) & near)
         pairs = met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-        one = vectors.select(F.col("node").alias("v"), "hashes", "counts")
-        other = vectors.select(F.col("node").alias("u"), F.col("hashes").alias("other_hashes"), F.col("counts").alias("other_counts"))
-        found = cut(pairs.join(one, "v").join(other, "u").mapInArrow(compare, "u binary, v binary"))
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
+        found = linked(pairs)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            label = components(links)
         active = open_.drop("label").join(leaders.select("band", F.col("u").alias("node")), ["band", "node"], "left_anti")
     else:
         raise RuntimeError(f"a bucket has members of several classes after {ROUNDS} rounds of leaders")
-    named = sampled.select("doc_id", "node")
-    if label is not None:
-        named = named.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("node"))
+    named = sampled.select("doc_id", "node").join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("node"))
     classes = named.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"))
     return named.join(classes, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
