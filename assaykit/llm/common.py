@@ -74,6 +74,12 @@ def fit_rows(docs: DataFrame, labels: DataFrame, label: str, held: Column, per_c
     return [(r["text"], r["y"]) for r in rows.limit(4 * per_class).collect()]
 
 
+def label_share(labels: DataFrame, label: str, held: Column) -> float:
+    """The share of label 1 among the rows that may be learnt from, which scores are calibrated to."""
+    share = labels.where(~held & F.col(label).isin(0, 1)).agg(F.avg(label).alias("s")).first()["s"]
+    return min(0.95, max(0.05, share if share is not None else 0.5))
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     """Rows whose CRC-32 of the id as text has this remainder."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))

@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Calibrated, fit_rows, held_out, read, text_of
+from .common import Calibrated, fit_rows, held_out, label_share, read, text_of
 
 PER_CLASS, FIT_CHARS = 1500, 16_000
 BLOCK, DICTIONARY, LEVEL = 4096, 131_072, 3
@@ -64,19 +64,18 @@ class Sizes:
         return (good - bad) / (good + bad), (good + bad) / (2 * size + 64)
 
 
-def fit(rows: list[tuple[str, int]]) -> tuple[bytes, bytes, Calibrated]:
+def fit(rows: list[tuple[str, int]], share: float = 0.5) -> tuple[bytes, bytes, Calibrated]:
     """Labelled texts to (good dictionary, bad dictionary, curve); every second text of a class calibrates."""
     by = [[t for t, y in rows if y == k] for k in (0, 1)]
     good, bad = dictionary(by[1][::2], 1), dictionary(by[0][::2], 2)
     sizes = Sizes(good, bad)
     seen = [(t, y) for y in (0, 1) for t in by[y][1::2]]
-    share = len(by[1]) / max(1, len(rows))
-    return good, bad, Calibrated([sizes.features(t) for t, _ in seen] or np.empty((0, 2)), [y for _, y in seen] or [y for _, y in rows], min(max(share, 0.5), 0.86) if seen else None)
+    return good, bad, Calibrated([sizes.features(t) for t, _ in seen] or np.empty((0, 2)), [y for _, y in seen] or [y for _, y in rows], share if seen else None)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, held: Column, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every document with score (higher: good likelier) and predicted."""
-    good, bad, curve = fit(fit_rows(docs, labels, "quality", held, PER_CLASS, FIT_CHARS))
+    good, bad, curve = fit(fit_rows(docs, labels, "quality", held, PER_CLASS, FIT_CHARS), label_share(labels, "quality", held))
 
     def run(batches):
         sizes = Sizes(good, bad)

@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Calibrated, fit_rows, held_out, read, text_of
+from .common import Calibrated, fit_rows, held_out, label_share, read, text_of
 
 PER_CLASS, FIT_CHARS = 1800, 12_000
 BUCKETS, DIM, WINDOW, GRAMS = 1 << 16, 8, 64, (3, 4, 5, 6)
 EPOCHS, BATCH, RATE = 4, 256, 0.15
-THRESHOLD, SHARE = 0.3, 0.12
+THRESHOLD = 0.3
 MEMO, CHUNK = 300_000, 1 << 20
 NOT_LETTERS = re.compile(r"[\W_]+")
 
@@ -166,18 +166,18 @@ def chunks(texts: list[str]):
         yield a, len(texts)
 
 
-def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, Calibrated]:
+def fit(rows: list[tuple[str, int]], share: float = 0.1) -> tuple[np.ndarray, float, Calibrated]:
     """Labelled texts to (number of each bucket, bias, curve); every third text of a class calibrates."""
     by = [[t for t, y in rows if y == k] for k in (0, 1)]
     seen = [(t, y) for y in (0, 1) for t in by[y][2::3]]
     number, bias = train([(t, y) for y in (0, 1) for k, t in enumerate(by[y]) if k % 3 != 2])
     x = Reader(number, bias).features([t for t, _ in seen]) if seen else np.empty((0, 4))
-    return number, bias, Calibrated(x, [y for _, y in seen] or [y for _, y in rows], SHARE if seen else None)
+    return number, bias, Calibrated(x, [y for _, y in seen] or [y for _, y in rows], share if seen else None)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held: Column, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every document with score (higher: toxic likelier) and predicted."""
-    number, bias, curve = fit(fit_rows(docs, labels, "toxic", held, PER_CLASS, FIT_CHARS))
+    number, bias, curve = fit(fit_rows(docs, labels, "toxic", held, PER_CLASS, FIT_CHARS), label_share(labels, "toxic", held))
 
     def run(batches):
         reader = Reader(number, bias)
