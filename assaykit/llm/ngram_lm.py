@@ -6,7 +6,7 @@ that its hash belongs to; the parts add up the blocks' counts and answer each bl
 order it asked; the block joins the answers to its documents' n-grams and sums per document.
 So an n-gram crosses the network once a block, however often it occurs, and a frequent one
 is a single number in each block. Blocks and parts have a bounded size and their number
-grows with the corpus.
+grows with the corpus. Keys travel sorted, their upper bits as steps, and numbers as byte planes.
 
 A document is scored by the rest of the corpus: its own occurrences are taken from every
 count. For a token with history, the longest n-gram that still occurs elsewhere gives
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, read, text_of
 
-MAX_ORDER, BACKOFF = 2, 0.4
+MAX_ORDER, BACKOFF = 3, 0.4
 BLOCK_CHARS, PART_CHARS = 8_000_000, 8_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,6 +78,30 @@ def slices(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     return [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes, so that upper bytes of zero cost nothing."""
+    planes = np.ascontiguousarray(values).view("u1").reshape(len(values), -1).T.tobytes()
+    return len(values).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[4:], n * width, "zstd", asbytes=True), "u1").reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys: five lower bytes of each as they are, then the steps of the three upper ones."""
+    steps = np.diff(keys >> np.uint64(40), prepend=np.uint64(0))
+    return np.ascontiguousarray(keys.astype("<u8").view("u1").reshape(-1, 8)[:, :5]).tobytes() + pack(steps.astype("<u4"))
+
+
+def unpack_keys(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), "u1")
+    out[:, :5] = np.frombuffer(data, "u1", 5 * n).reshape(n, 5)
+    return out.view("<u8").ravel() | np.cumsum(unpack(data[5 * n :], "<u4").astype(np.uint64)) << np.uint64(40)
+
+
 def score_documents(docs: DataFrame, max_order: int = MAX_ORDER, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_tokens, score (sum of natural logarithms), mean_score."""
     source = docs.select("doc_id", F.lower(text_of(docs)).alias("text"))
@@ -88,25 +112,26 @@ def score_documents(docs: DataFrame, max_order: int = MAX_ORDER, backoff: float
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = key[0].as_py()
         keys, count = np.unique(Exploded(table.column("text").to_pylist(), max_order).keys, return_counts=True)
-        rows = [(p, block, keys[a:b].tobytes(), count[a:b].astype("<u4").tobytes()) for p, a, b in slices(keys, parts)]
+        rows = [(p, block, pack_keys(keys[a:b]), pack(count[a:b].astype("<u4"))) for p, a, b in slices(keys, parts)]
         columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "block", "keys", "counts"])
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-        count = np.concatenate([np.frombuffer(c, "<u4") for c in table.column("counts").to_pylist()])
+        counts = [unpack(c, "<u4") for c in table.column("counts").to_pylist()]
+        keys = [unpack_keys(k, len(c)) for k, c in zip(table.column("keys").to_pylist(), counts, strict=True)]
+        count = np.concatenate(counts)
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, count).astype("<i8")[place]
         ends = np.cumsum([len(k) for k in keys])
-        found = [total[e - len(k) : e].tobytes() for k, e in zip(keys, ends, strict=True)]
+        found = [pack(total[e - len(k) : e]) for k, e in zip(keys, ends, strict=True)]
         return pa.table([table.column("block"), table.column("part"), pa.array(found, pa.binary())], names=["block", "part", "totals"])
 
     def join(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         grams = Exploded(table.column("text").to_pylist(), max_order)
         order = np.argsort(np.asarray(answers.column("part")), kind="stable")
         texts = answers.column("totals").to_pylist()
-        total = np.concatenate([np.empty(0, "<i8"), *(np.frombuffer(texts[i], "<i8") for i in order)])
+        total = np.concatenate([np.empty(0, "<i8"), *(unpack(texts[i], "<i8") for i in order)])
         _, place = np.unique(grams.keys, return_inverse=True)
         left = total[place] - grams.own()  # what the rest of the corpus has
         n = len(grams.doc)

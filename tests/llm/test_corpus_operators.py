@@ -52,6 +52,23 @@ def test_lm_scores(spark, order, monkeypatch):
     assert ngram_lm.score_documents(frame.limit(0)).count() == 0
 
 
+def test_lm_query_has_two_words_of_context(spark, tmp_path):
+    r = random.Random(8)
+    texts = [words(r, r.randint(0, 60), "ab") for _ in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [x.score for x in sorted(ngram_lm.op1_lm_scoring(spark, str(tmp_path)).collect(), key=lambda x: x.doc_id)]
+    assert got == pytest.approx([x for _, x in brute_scores(texts, 3)], abs=1e-3)
+    assert got != pytest.approx([x for _, x in brute_scores(texts, 2)], abs=1e-3)
+
+
+def test_lm_keys_packed():
+    keys = np.unique(np.random.default_rng(2).integers(0, 2**64, 5000, np.uint64, endpoint=False))
+    for some in (keys, keys[:1], keys[-3:], np.array([0, 1, 2**64 - 1], np.uint64)):
+        assert ngram_lm.unpack_keys(ngram_lm.pack_keys(some), len(some)).tolist() == some.tolist()
+    values = np.array([0, 1, 255, 256, 2**40, 2**62], "<i8")
+    assert ngram_lm.unpack(ngram_lm.pack(values), "<i8").tolist() == values.tolist()
+
+
 def test_suffix_array():
     r = random.Random(3)
     for _ in range(1500):
