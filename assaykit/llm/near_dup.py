@@ -25,6 +25,7 @@ are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -39,7 +40,6 @@ WORDS, SIMILARITY, RARE = 5, 0.8, 1e-3
 BANDS, ROWS = 16, 4
 TABLE = 1 << 14
 LEADERS = (2, 16, 64, 256, 1024, 4096)  #: leaders of a bucket, round by round; the last number repeats
-ROUNDS = 40
 
 
 def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -268,9 +268,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     best = active.groupBy("band").agg(F.max(F.struct("met", F.xxhash64("node").alias("by"), "node", "total")).alias("b"))
     first = active.join(best, "band").withColumn("other", F.col("b.total")).where((F.col("b.node") != F.col("node")) & near)
     first = first.groupBy("node").agg(F.max(F.struct("b.met", "b.by", "b.node")).alias("b"))
-    links = linked(first.select(F.col("b.node").alias("u"), F.col("node").alias("v")))
-    label = components(links)
-    for k in range(ROUNDS):
+    label = components(linked(first.select(F.col("b.node").alias("u"), F.col("node").alias("v"))))
+    for k in itertools.count():  # ends, as every open bucket loses a leader a round
         named = active.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
         open_ = cut(named.join(several, "band", "left_semi"))
@@ -283,11 +282,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         pairs = met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
         found = linked(pairs)
         if not found.isEmpty():
-            links = links.unionByName(found)
-            label = components(links)
+            joined = label.select(F.col("node").alias("u"), F.col("label").alias("v"))
+            label = components(joined.unionByName(found))
         active = open_.drop("label").join(leaders.select("band", F.col("u").alias("node")), ["band", "node"], "left_anti")
-    else:
-        raise RuntimeError(f"a bucket has members of several classes after {ROUNDS} rounds of leaders")
     named = sampled.select("doc_id", "node").join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("node"))
     classes = named.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"))
     return named.join(classes, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))

@@ -146,6 +146,18 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_many_rounds(spark, monkeypatch):
+    """Buckets whose members stay in several classes are settled however many rounds it takes."""
+    monkeypatch.setattr(near_dup, "LEADERS", (1,))
+    monkeypatch.setattr(near_dup, "ROUNDS", 1, raising=False)
+    r = random.Random(4)
+    shared = words(r, 100)
+    texts = [shared + " " + words(r, 35) for _ in range(5)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dup.near_duplicates(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102)]
     links = spark.createDataFrame([(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in chain], "u binary, v binary")
