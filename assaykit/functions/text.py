@@ -18,15 +18,28 @@ def canonical_prompt(text: pd.Series) -> pd.Series:
 
 
 def edit_distance(a, b) -> int:
-    """Levenshtein distance of two sequences."""
+    """Levenshtein distance of two sequences, a column of the table at a time as bits of whole numbers (Myers, Hyyrö)."""
     if len(a) < len(b):
         a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    if not len(b):
+        return len(a)
+    n, at = len(a), {}
+    wanted = set(b)
+    for i, x in enumerate(a):
+        if x in wanted:
+            at.setdefault(x, bytearray(n // 8 + 1))[i >> 3] |= 1 << (i & 7)
+    at = {x: int.from_bytes(m, "little") for x, m in at.items()}
+    every = (1 << n) - 1
+    more, less, score = every, 0, n
+    for y in b:
+        same = at.get(y, 0)
+        diagonal = (((same & more) + more) ^ more) | same
+        up, down = less | (every & ~(diagonal | more)), more & diagonal
+        score += (up >> (n - 1) & 1) - (down >> (n - 1) & 1)
+        up, down = (up << 1 | 1) & every, down << 1 & every
+        vertical = same | less
+        more, less = down | (every & ~(vertical | up)), up & vertical
+    return score
 
 
 @F.pandas_udf(T.IntegerType())

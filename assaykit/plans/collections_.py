@@ -206,11 +206,10 @@ def conversation_word_errors(spark, sf_dir):
 @query("""WITH w AS (SELECT doc_id, left(regexp_replace(lower(text), '[^a-z]', '', 'g'), 40) AS a FROM documents), p AS (SELECT x.doc_id, x.a AS a, y.a AS b FROM w x JOIN w y ON y.doc_id = x.doc_id + 1)
 SELECT count(*)::BIGINT AS pairs, sum(levenshtein(a, b))::BIGINT AS edits, round(sum(levenshtein(a, b)) / sum(length(a)), 6) AS error_rate FROM p""")
 def phone_error_rate(spark, sf_dir):
-    """Corpus edits over reference length, on id sequences of the letters of neighbouring documents."""
-    w = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 1, 40).alias("a"))
+    """Corpus edits over reference length, on all letters of neighbouring documents."""
+    w = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("a"))
     b = w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
-    ids = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x))
-    e = w.join(b, "doc_id").select(F.length("a").alias("n"), texts.sequence_distance(ids("a"), ids("b")).alias("e"))
+    e = w.join(b, "doc_id").select(F.length("a").alias("n"), texts.sequence_distance("a", "b").alias("e"))
     return rounded(e.agg(F.count(F.lit(1)).alias("pairs"), F.sum("e").alias("edits"), F.try_divide(F.sum("e"), F.sum("n")).alias("error_rate")))
 
 
