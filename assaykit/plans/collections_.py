@@ -108,7 +108,7 @@ def text_confound(spark, sf_dir):
 
 @query()
 def linkage_clusters(spark, sf_dir):
-    return vectors.linkage_clusters(table(spark, sf_dir, "embeddings").where("label = 0"), "vec_id", "embedding", 0.35)
+    return vectors.linkage_clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35)
 
 
 @query()

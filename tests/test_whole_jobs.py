@@ -30,3 +30,9 @@ def test_phone_error_rate_takes_whole_texts(spark, tmp_path):
     letters = [t.lower().replace(" ", "") for t in made]
     edits = sum(plain_distance(a, b) for a, b in zip(letters, letters[1:]))
     assert (got.pairs, got.edits, got.error_rate) == (6, edits, round(edits / sum(map(len, letters[:-1])), 6))
+
+
+def test_linkage_clusters_take_every_label(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    got = registry.QUERIES["linkage_clusters"](spark, sf_dir).collect()
+    assert sorted(r.vec_id for r in got) == sorted(r.vec_id for r in rows.select("vec_id").collect())
