@@ -206,7 +206,7 @@ def leave_one_out_profiles(spark, sf_dir):
 
 @query(SOURCE + "SELECT speaker, phone_index, label, round((score - (SELECT avg(score) FROM p)) / (SELECT stddev_pop(score) FROM p), 6) + 0.0 AS z FROM p WHERE speaker = 7")
 def z_scores(spark, sf_dir):
-    rows = weights.z_scores(tokens(spark, sf_dir), "score").where("speaker = 7")
+    rows = weights.z_scores(tokens(spark, sf_dir), "score")
     return rounded(rows.select("speaker", "phone_index", "label", "z"))
 
 

@@ -2,8 +2,12 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from assaykit.functions import text as texts
 from assaykit.plans import registry
+from assaykit.plans.assessment import tokens
 
 
 def plain_distance(a, b):
@@ -36,3 +40,12 @@ def test_linkage_clusters_take_every_label(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     got = registry.QUERIES["linkage_clusters"](spark, sf_dir).collect()
     assert sorted(r.vec_id for r in got) == sorted(r.vec_id for r in rows.select("vec_id").collect())
+
+
+def test_z_scores_of_every_row(spark, sf_dir):
+    rows = tokens(spark, sf_dir).toPandas()
+    z = ((rows.score - rows.score.mean()) / rows.score.std(ddof=0)).round(5) + 0.0
+    got = registry.QUERIES["z_scores"](spark, sf_dir).toPandas()
+    expected = sorted(zip(rows.speaker, rows.phone_index, rows.label, z, strict=True))
+    found = sorted(zip(got.speaker, got.phone_index, got.label, got.z, strict=True))
+    assert np.array(found, float) == pytest.approx(np.array(expected, float), abs=2e-5)
