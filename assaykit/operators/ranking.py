@@ -33,18 +33,36 @@ def disagreement_queue(rows: DataFrame, by: tuple[str, str], severity: str, key:
     return ranked.orderBy("label_rank", label).limit(limit).withColumn("position", place)
 
 
-def balanced_queue(rows: DataFrame, label: str, utterance: str, speaker: str, phone: str, priority: str, per_label: int) -> DataFrame:
-    """Greedy top ``per_label`` of each label: one per utterance; each pick makes its (speaker, phone) dearer.
+def balanced_queue(rows: DataFrame, label: str, utterance: str, speaker: str, phone: str, index: str, priority: str, per_label: int) -> DataFrame:
+    """Greedy top ``per_label`` of each label: one per utterance, the least used (speaker, phone) first, then the highest priority.
 
-    An utterance's best row in a label stands for it; labels are independent groups.
+    Every row of an unused utterance is a candidate. What no pick can reach is left out first: rows of a
+    cell after its first ``per_label`` utterances (picks use up fewer), and rows after 2 ``per_label`` - 1 better
+    ones of different cells and utterances (one of which is always free and in an unused cell).
     """
-    best = Window.partitionBy(label, utterance).orderBy(F.desc(priority), phone)
-    heads = rows.withColumn("__k", F.row_number().over(best)).where("__k = 1").drop("__k")
-    # A pick is pushed back by one rank for each earlier pick of its (speaker, phone): its turn in that cell.
-    cell = Window.partitionBy(label, speaker, phone).orderBy(F.desc(priority), utterance)
-    turns = heads.withColumn("turn", F.row_number().over(cell))
-    out = Window.partitionBy(label).orderBy("turn", F.desc(priority), utterance)
-    return turns.withColumn("position", F.row_number().over(out)).where(F.col("position") <= per_label)
+    order = [F.desc(priority), F.asc(utterance), F.asc(index), F.asc(phone), F.asc(speaker)]
+    once = Window.partitionBy(label, speaker, phone, utterance).orderBy(*order)
+    cell = Window.partitionBy(label, speaker, phone).orderBy(*order)
+    first = rows.withColumn("__k", F.row_number().over(once)).where("__k = 1").withColumn("__k", F.row_number().over(cell)).where(F.col("__k") <= per_label).drop("__k")
+    heads = first.withColumn("__k", F.row_number().over(Window.partitionBy(label, utterance).orderBy(*order))).where("__k = 1")
+    apart = heads.withColumn("__k", F.row_number().over(cell)).where("__k = 1").withColumn("__k", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+    last = apart.where(F.col("__k") == 2 * per_label - 1).select(label, F.col(priority).alias("__least"))
+    near = first.join(F.broadcast(last), label, "left").where(F.col("__least").isNull() | (F.col(priority) >= F.col("__least"))).drop("__least")
+
+    def pick(group):
+        group = group.sort_values([priority, utterance, index, phone, speaker], ascending=[False, True, True, True, True])
+        cells = list(zip(group[speaker], group[phone], strict=True))
+        free, used, chosen = dict(enumerate(zip(group[utterance], cells, strict=True))), {}, []
+        while free and len(chosen) < per_label:
+            i = min(free, key=lambda k: (used.get(free[k][1], 0), k))
+            taken, at = free[i]
+            chosen.append(i)
+            used[at] = used.get(at, 0) + 1
+            free = {k: v for k, v in free.items() if v[0] != taken}
+        return group.iloc[chosen].assign(position=range(1, len(chosen) + 1))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in near.schema)
+    return near.groupBy(label).applyInPandas(pick, f"{kinds}, position int")
 
 
 def equal_error(genuine: DataFrame, impostor: DataFrame, value: str) -> DataFrame:

@@ -373,7 +373,7 @@ def duration_batches(spark, sf_dir):
 @query()
 def balanced_review_queue(spark, sf_dir):
     rows = tokens(spark, sf_dir).withColumn("priority", F.abs(F.col("score") - F.col("label") * 50.0))
-    return rounded(ranking.balanced_queue(rows, "label", "utterance_id", "speaker", "phone", "priority", 50).select("label", "utterance_id", "phone", "position"))
+    return rounded(ranking.balanced_queue(rows, "label", "utterance_id", "speaker", "phone", "phone_index", "priority", 50).select("label", "utterance_id", "phone", "position"))
 
 
 @query(SOURCE + "SELECT count(*)::BIGINT AS n_phones, count(DISTINCT utterance_id)::BIGINT AS n_utterances, [count(*) FILTER (WHERE label = 0), count(*) FILTER (WHERE label = 1), count(*) FILTER (WHERE label = 2)]::VARCHAR AS label_counts, (SELECT string_agg(phone, ',' ORDER BY phone) FROM (SELECT DISTINCT phone FROM p)) AS phones FROM p")

@@ -1,11 +1,13 @@
 """Registered queries do the whole job: whole texts, whole tables, all candidates, all replicates."""
 
+import collections
 import random
 
 import numpy as np
 import pytest
 
 from assaykit.functions import text as texts
+from assaykit.operators import ranking
 from assaykit.plans import registry
 from assaykit.plans.assessment import tokens
 
@@ -49,3 +51,30 @@ def test_z_scores_of_every_row(spark, sf_dir):
     expected = sorted(zip(rows.speaker, rows.phone_index, rows.label, z, strict=True))
     found = sorted(zip(got.speaker, got.phone_index, got.label, got.z, strict=True))
     assert np.array(found, float) == pytest.approx(np.array(expected, float), abs=2e-5)
+
+
+def greedy(rows, per_label):
+    """The reference's rule on (label, utterance, speaker, phone, index, priority)."""
+    out = []
+    for label in sorted({x[0] for x in rows}):
+        ordered = sorted((x for x in rows if x[0] == label), key=lambda x: (-x[5], x[3], x[1], x[4]))
+        used, counts = set(), collections.Counter()
+        for position in range(1, per_label + 1):
+            left = [x for x in ordered if x[1] not in used]
+            if not left:
+                break
+            x = min(left, key=lambda x: (counts[x[2], x[3]], -x[5], x[1], x[4]))
+            used.add(x[1])
+            counts[x[2], x[3]] += 1
+            out.append((label, x[1], x[3], x[4], position))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cells", [2, 6, 40])
+def test_balanced_queue_keeps_all_candidates(spark, cells):
+    r = random.Random(cells)
+    rows = [(label, u, u % 3 if cells > 2 else 0, r.randrange(cells), i, float(r.randrange(30))) for label in (0, 1) for u in range(60) for i in range(5)]
+    frame = spark.createDataFrame(rows, "label int, u int, s int, p int, i int, priority double")
+    for per_label in (1, 4, 25):
+        got = ranking.balanced_queue(frame, "label", "u", "s", "p", "i", "priority", per_label)
+        assert sorted(got.select("label", "u", "p", "i", "position").toPandas().itertuples(index=False, name=None)) == greedy(rows, per_label)
