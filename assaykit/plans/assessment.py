@@ -142,7 +142,7 @@ def group_statistics(spark, sf_dir):
 
 @query()
 def paired_bootstrap(spark, sf_dir):
-    return rounded(bootstrap.paired_bootstrap(tokens(spark, sf_dir), "speaker", ("score_b", "score"), 2000))
+    return rounded(bootstrap.paired_bootstrap(tokens(spark, sf_dir), "speaker", ("score_b", "score")))
 
 
 @query(SOURCE + """, n AS (SELECT label, count(*) AS n FROM p GROUP BY label), s AS (SELECT sum(n) / sum(n * n ** -0.54) AS k FROM n)

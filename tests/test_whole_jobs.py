@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 
 from assaykit.functions import text as texts
-from assaykit.operators import ranking
+from assaykit.operators import bootstrap, ranking
 from assaykit.plans import registry
-from assaykit.plans.assessment import tokens
+from assaykit.plans.assessment import rounded, tokens
 
 
 def plain_distance(a, b):
@@ -78,3 +78,9 @@ def test_balanced_queue_keeps_all_candidates(spark, cells):
     for per_label in (1, 4, 25):
         got = ranking.balanced_queue(frame, "label", "u", "s", "p", "i", "priority", per_label)
         assert sorted(got.select("label", "u", "p", "i", "position").toPandas().itertuples(index=False, name=None)) == greedy(rows, per_label)
+
+
+def test_paired_bootstrap_has_ten_thousand_replicates(spark, sf_dir):
+    got = registry.QUERIES["paired_bootstrap"](spark, sf_dir).toPandas()
+    whole = rounded(bootstrap.paired_bootstrap(tokens(spark, sf_dir), "speaker", ("score_b", "score"), 10_000)).toPandas()
+    assert got.equals(whole)
