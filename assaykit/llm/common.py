@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -20,13 +21,15 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows go to the shared checkpoint folder, which outlives executors.
 
-    The folder is the session's ``spark.checkpoint.dir``; one is made up only where
-    that is unset, as in tests.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, one is made up on a
+    single machine, as in tests; on a cluster, whose machines share no such folder, it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="assaykit-checkpoint-"))
     return df.checkpoint(eager=True)
 

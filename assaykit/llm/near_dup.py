@@ -12,10 +12,15 @@ Shares over RARE are exact: first each block of documents names the shingles in
 RARE / 2 of it, of which at most 2 / RARE times a document's mean shingles can matter; then these are counted.
 
 Equal bags are one node, however many copies there are. Inside a bucket nobody is compared with
-everybody: a few leaders, those that share most buckets with others, are compared with the
-members not yet connected to them, then retire; more leaders follow while a bucket's members are
-in several classes. As a retired leader has met all that it was not connected to, no link of a
-bucket is lost. Before that, each node meets the one leader that shares most buckets. Pairs whose total weights alone rule out the similarity are not compared.
+everybody. First each node meets one node, the best of the first members of its buckets; that
+joins most of what belongs together. Then, while a bucket's nodes are in several classes, those
+outside its largest class meet the others of other classes: a pair inside one class needs no
+comparison. A bucket is dealt to a grid of slices, so a task holds two slices of it at most.
+In a slice the bags' samples are compared, one byte each: fewer than ``ALIKE`` equal ones of the
+64 rule a pair out (at similarity 0.8 that goes wrong for one pair in fifty million, where banding
+misses two in ten thousand), and so do total weights too far apart. The pairs left are verified
+on whole bags, for each node the most alike first; more of them follow round by round until all are
+settled. There is no cap: rounds end when no node has an unsettled candidate left.
 
 Defined results: words are lower-cased text between white space; documents without words
 (null, empty) are classes of their own; equal texts and repeated rows share a class; a class is
@@ -25,31 +30,33 @@ are ignored.
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, read, text_of
-from .ngram_lm import ODD, mix, slices
+from .words import ODD, Powers, mix, word_hashes
 
 WORDS, SIMILARITY, RARE = 5, 0.8, 1e-3
 BANDS, ROWS = 16, 4
+DRAWS = BANDS * ROWS
+ALIKE = 32
 TABLE = 1 << 14
-LEADERS = (2, 16, 64, 256, 1024, 4096)  #: leaders of a bucket, round by round; the last number repeats
+EIGHTHS = 8  #: weights are whole numbers of eighths
+BLOCK_DOCS, BLOCK_SHINGLES = 8192, 8_000_000  #: of a block that names its common shingles
+SLICE, GROUP = 1024, 16_384  #: rows of a bucket that meet; rows of small buckets that share a task's group
+MOST, MORE = 2, 8  #: pairs of a node that are verified in the first round of slices, and how many times more in each later one
 
+Bag = tuple[np.ndarray, np.ndarray]
 
-def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+
+def bags(texts: list[str], powers: Powers) -> list[Bag]:
     """Each text's different shingles (64-bit hashes, ascending) and their counts."""
-    split = [t.split() for t in texts]
-    sizes = np.array([len(s) for s in split], np.int64)
-    vocab: dict[str, int] = {}
-    ids = np.fromiter((vocab.setdefault(w, len(vocab)) for s in split for w in s), np.int64, int(sizes.sum()))
-    word = mix(np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in vocab), np.uint64, len(vocab)) + ODD)[ids]
-    long = word[: max(0, len(word) - WORDS + 1)].copy()
+    word, sizes = word_hashes(texts, powers)
+    long = mix(word[: max(0, len(word) - WORDS + 1)] + ODD)
     for k in range(1, WORDS):
         long = mix(long * ODD + word[k : k + len(long)])
     out, at = [], 0
@@ -60,12 +67,14 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             for k in range(1, n):
                 whole = mix(whole * ODD + word[at + k : at + k + 1])
             own = mix(whole + np.uint64(n))
-        out.append(np.unique(own, return_counts=True))
+        own = np.sort(own)
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+        out.append((own[first], np.diff(np.r_[first, len(own)])))
         at += n
     return out
 
 
-def chunks(texts: list[str], most: int = 2_000_000):
+def chunks(texts: list[str], most: int = 1_000_000):
     """Index ranges of about ``most`` characters."""
     a = size = 0
     for k, t in enumerate(texts):
@@ -77,116 +86,152 @@ def chunks(texts: list[str], most: int = 2_000_000):
         yield a, len(texts)
 
 
+def all_bags(texts: list[str], powers: Powers):
+    for a, b in chunks(texts):
+        yield from bags(texts[a:b], powers)
+
+
+def name_of(bag: Bag) -> bytes:
+    """Equal bags have equal names."""
+    return xxhash.xxh3_128_digest(bag[0].tobytes() + bag[1].astype("<i8").tobytes())
+
+
 class Weights:
-    """Inverse document frequencies: those of common shingles, 2 for all others."""
+    """Inverse document frequencies in eighths: those of common shingles, 16 for all others."""
 
     def __init__(self, common: dict[int, int], documents: int):
         keys = np.array(sorted(common), np.uint64)
         share = np.array([common[int(k)] for k in keys], float) / max(1, documents)
-        value = 1 + np.log(1 / np.maximum(share, RARE)) / math.log(1 / RARE)
-        self.keys, self.value = keys, np.round(value * 8) / 8
+        value = 1 + np.log(1 / np.clip(share, RARE, 1)) / math.log(1 / RARE)
+        self.keys, self.value = keys, np.round(value * EIGHTHS).astype(np.int64)
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), 2.0)
+    def of(self, bag: Bag) -> np.ndarray:
+        """The weight of each shingle of a bag, in eighths."""
+        hashes, count = bag
+        out = np.full(len(hashes), 2 * EIGHTHS)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
             hit = self.keys[at] == hashes
             out[hit] = self.value[at[hit]]
-        return out
+        return out * count
 
 
 class Sampler:
     """Consistent samples of weighted bags: each draw takes an element and a weight step of it.
 
     The random numbers of a shingle and a draw (two gamma variables and a uniform one) come from
-    the row of a table that its hash names; the commonest weight's results are worked out once.
+    the row of a table that its hash names. At the commonest weight the order of the rows' costs
+    is worked out once for each draw, so that a bag's winner is the smallest of its rows' places.
     """
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
-        draws = BANDS * ROWS
-        self.r, self.c = rng.gamma(2, 1, (2, TABLE, draws)).astype(np.float32)
-        self.beta = rng.uniform(0, 1, (TABLE, draws)).astype(np.float32)
-        self.usual = 2.0
+        self.r, self.c = rng.gamma(2, 1, (2, TABLE, DRAWS)).astype(np.float32)
+        self.beta = rng.uniform(0, 1, (TABLE, DRAWS)).astype(np.float32)
+        self.usual, self.draws = 2 * EIGHTHS, np.arange(DRAWS)
         self.cost, self.step = self.at(np.arange(TABLE), np.full(TABLE, self.usual))
+        self.row_at = np.argsort(self.cost, axis=0, kind="stable")  # by draw: rows from the cheapest
+        self.place = np.empty((TABLE, DRAWS), np.uint16)
+        np.put_along_axis(self.place, self.row_at, np.arange(TABLE, dtype=np.uint16)[:, None], axis=0)
 
     def at(self, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Costs and steps of rows at a weight in eighths."""
         r, beta = self.r[row], self.beta[row]
-        step = np.floor(np.log(weight).astype(np.float32)[:, None] / r + beta)
+        step = np.floor(np.log(weight / EIGHTHS).astype(np.float32)[:, None] / r + beta)
         return np.log(self.c[row]) - r * (step - beta) - r, step.astype(np.int32)
 
-    def bands(self, hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def samples(self, hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """One hash for each draw, of the element and the step that win."""
         row = (mix(hashes) % np.uint64(TABLE)).astype(np.int64)
-        cost = self.cost[row]
-        odd = np.flatnonzero(weight != self.usual)
-        if len(odd):
-            cost[odd], odd_step = self.at(row[odd], weight[odd])
-        best = cost.argmin(0)  # the first of equals: hashes ascend
-        draws = np.arange(BANDS * ROWS)
-        step = self.step[row[best], draws]
-        if len(odd):
-            place = np.minimum(np.searchsorted(odd, best), len(odd) - 1)
-            step = np.where(odd[place] == best, odd_step[place, draws], step)
-        sample = mix(hashes[best] + mix(step.astype(np.int64).astype(np.uint64) + np.uint64(1))).reshape(BANDS, ROWS)
-        key = mix(np.arange(BANDS).astype(np.uint64) + np.uint64(77))
+        plain = weight == self.usual
+        cost, step, best = np.full(DRAWS, np.inf, np.float32), np.zeros(DRAWS, np.int32), np.zeros(DRAWS, np.int64)
+        if (usual := np.flatnonzero(plain)).size:
+            own = row[usual]
+            won = self.row_at[self.place[own].min(0), self.draws]
+            order = np.argsort(own, kind="stable")  # of several elements of a row the smallest hash
+            best = usual[order[np.searchsorted(own[order], won)]]
+            cost, step = self.cost[won, self.draws], self.step[won, self.draws]
+        odd = np.flatnonzero(~plain)
+        for a in range(0, len(odd), 8192):
+            part = odd[a : a + 8192]
+            costs, steps = self.at(row[part], weight[part])
+            least = costs.argmin(0)
+            found = costs[least, self.draws]
+            better = (found < cost) | ((found == cost) & (part[least] < best))
+            cost, step, best = np.where(better, found, cost), np.where(better, steps[least, self.draws], step), np.where(better, part[least], best)
+        return mix(hashes[best] + mix(step.astype(np.int64).astype(np.uint64) + np.uint64(1)))
+
+    def bands(self, samples: np.ndarray) -> np.ndarray:
+        key, by = mix(np.arange(BANDS).astype(np.uint64) + np.uint64(77)), samples.reshape(BANDS, ROWS)
         for k in range(ROWS):
-            key = mix(key * ODD + sample[:, k])
+            key = mix(key * ODD + by[:, k])
         return key
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: Weights) -> float:
-    """Weighted Jaccard similarity of two bags."""
-    (ha, na), (hb, nb) = a, b
-    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    both = float((np.minimum(na[ia], nb[ib]) * weights.of(ha[ia])).sum())
-    all_ = float((na * weights.of(ha)).sum() + (nb * weights.of(hb)).sum()) - both
+def similarity(a: Bag, b: Bag) -> float:
+    """Weighted Jaccard similarity of two bags (keys, weights)."""
+    _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = int(np.minimum(a[1][ia], b[1][ib]).sum())
+    all_ = int(a[1].sum()) + int(b[1].sum()) - both
     return both / all_ if all_ else 0.0
 
 
+def packed(hashes: np.ndarray, weight: np.ndarray) -> bytes:
+    """A bag for the way: the upper 48 bits of its keys, and its weights."""
+    keys = np.ascontiguousarray(hashes.astype("<u8").view("u1").reshape(-1, 8)[:, 2:]).tobytes()
+    return len(hashes).to_bytes(4, "little") + keys + pa.compress(weight.astype("<u4").tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> Bag:
+    n = int.from_bytes(data[:4], "little")
+    keys = np.zeros((n, 8), "u1")
+    keys[:, 2:] = np.frombuffer(data, "u1", 6 * n, 4).reshape(n, 6)
+    return keys.view("<u8").ravel(), np.frombuffer(pa.decompress(data[4 + 6 * n :], 4 * n, "zstd", asbytes=True), "<u4").astype(np.int64)
+
+
 def common_shingles(texts: DataFrame) -> Weights:
     """The weights: exact document counts of every shingle in a share of RARE or more of the documents."""
-    total = texts.where(F.col("text").rlike(r"(?U)\S")).count()
-    parts = max(1, total // 5000)
 
-    def local(batches):
+    def named(batches):
+        powers = Powers()
+
+        def flush():
+            keys, count = np.unique(np.concatenate([h for h, _ in seen]), return_counts=True)
+            often = count >= RARE / 2 * len(seen)
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[keys[often].view(np.int64), 0]), pa.array(np.r_[count[often], 0]), pa.array(np.r_[np.zeros(often.sum(), np.int64), len(seen)])], ["h", "n", "docs"])
+
+        seen, size = [], 0
         for batch in batches:
-            rows, n, seen = batch.column("text").to_pylist(), 0, []
-            for a, b in chunks(rows):
-                own = [h for h, _ in bags(rows[a:b]) if len(h)]
-                n += len(own)
-                seen += own
-            keys, count = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            often = count >= RARE / 2 * n
-            keys, count = keys[often], count[often]
-            sent = [(k, keys[a:b].tobytes(), count[a:b].astype("<u4").tobytes()) for k, a, b in slices(keys, parts)]
-            columns = list(zip(*sent, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["part", "keys", "counts"])
-
-    def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()])
-        count = np.concatenate([np.frombuffer(c, "<u4") for c in table.column("counts").to_pylist()])
-        keys, place = np.unique(keys, return_inverse=True)
-        count = np.bincount(place, count)
-        keys = keys[(count >= RARE / 2 * total) & (count > 1)]
-        return pa.table([pa.array(keys.view(np.int64))], names=["h"])
-
-    named = texts.select("text").mapInArrow(local, "part int, keys binary, counts binary").groupBy("part").applyInArrow(merge, "h long").collect()
-    wanted = np.sort(np.array([r["h"] for r in named], np.int64).view(np.uint64))
+            for bag in all_bags(batch.column("text").to_pylist(), powers):
+                if len(bag[0]):
+                    seen.append(bag)
+                    size += len(bag[0])
+                if len(seen) >= BLOCK_DOCS or size >= BLOCK_SHINGLES:
+                    yield flush()
+                    seen, size = [], 0
+        if seen:
+            yield flush()
+
+    # Few large blocks, as a block of few documents would name every shingle; joining partitions moves no rows.
+    blocks = max(1, texts.count() // BLOCK_DOCS)
+    found = cut(texts.select("text").coalesce(blocks).mapInArrow(named, "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    total = found.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n")).first()["n"]
+    wanted = found.where((F.col("n") >= RARE / 2 * total) & (F.col("n") > 1)).select("h").toArrow()  # bounded, see above
+    wanted = np.sort(np.asarray(wanted.column("h")).view(np.uint64))
     if not len(wanted):
         return Weights({}, total)
 
     def exact(batches):
+        powers, count = Powers(), np.zeros(len(wanted), np.int64)
         for batch in batches:
-            rows, count = batch.column("text").to_pylist(), np.zeros(len(wanted), np.int64)
-            for a, b in chunks(rows):
-                own = np.concatenate([np.empty(0, np.uint64), *(h for h, _ in bags(rows[a:b]))])
-                at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-                count += np.bincount(at[wanted[at] == own], minlength=len(wanted))
-            hit = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(wanted[hit].view(np.int64)), pa.array(count[hit])], ["h", "n"])
+            for hashes, _ in all_bags(batch.column("text").to_pylist(), powers):
+                at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+                count[at[wanted[at] == hashes]] += 1
+        hit = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[hit].view(np.int64)), pa.array(count[hit])], ["h", "n"])
 
-    counted = texts.select("text").mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE * total).collect()
-    return Weights({r["h"] & (2**64 - 1): r["n"] for r in counted}, total)
+    counted = texts.select("text").mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE * total).toArrow()
+    return Weights(dict(zip(np.asarray(counted.column("h")).view(np.uint64).tolist(), counted.column("n").to_pylist(), strict=True)), total)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,92 +247,158 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = cut(small.distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.crc32(F.concat("u", "v"))), F.bit_xor(F.xxhash64("u", "v"))).first()
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == last:
             break
         last = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def equal_samples(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many samples each row of a shares with each row of b."""
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for k in range(a.shape[1]):
+        out += a[:, k, None] == b[None, :, k]
+    return out
+
+
+def sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, DRAWS)
+
+
+def open_pairs(table: pa.Table, most: int, threshold: float) -> pa.Table:
+    """In each slice of a bucket, the pairs of a row of the smaller classes (role 1) with a row of another class that may be similar.
+
+    For each such row the ``most`` most alike ones (all of equal standing with the last of them count as one more); ``more`` tells whether any were left.
+    """
+    column = {c: np.asarray(table.column(c)) for c in ("band", "slice", "block", "role", "n", "label", "total")}
+    every = sketches(table.column("sketch"))
+    order = np.lexsort((column["n"], column["role"], column["block"], column["slice"], column["band"]))
+    keys = [column[c][order] for c in ("band", "slice", "block")]
+    begins = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]]
+    for a, b in zip(begins, np.r_[begins[1:], len(order)], strict=True):
+        own = order[a:b]
+        low, all_ = own[column["role"][own] == 1], own[column["role"][own] == 0]
+        for c in range(0, len(low), 256):
+            part = low[c : c + 256]
+            same = equal_samples(every[part], every[all_]).astype(np.int16)
+            x, y = column["total"][part][:, None], column["total"][all_][None, :]
+            same[(column["label"][part][:, None] == column["label"][all_][None, :]) | (np.minimum(x, y) < (threshold - 1e-9) * np.maximum(x, y))] = 0
+            same[same < ALIKE] = 0
+            some = min(most, same.shape[1])
+            if not some:
+                continue
+            best = np.argpartition(-same, some - 1, axis=1)[:, :some]
+            left = (same > 0).sum(1) > some
+            hit = np.take_along_axis(same, best, axis=1) > 0
+            i, j = np.nonzero(hit)
+            found[0].append(column["n"][part[i]])
+            found[1].append(column["n"][all_[best[i, j]]])
+            found[2].append(left[i])
+    u, v, more = map(np.concatenate, found)
+    return pa.table([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(more)], names=["u", "v", "more"])
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id of every row."""
     texts = docs.select("doc_id", F.lower(text_of(docs)).alias("text"))
     weights = common_shingles(texts)
 
     def sample(batches):
-        sampler = Sampler()
+        sampler, powers = Sampler(), Powers()
         for batch in batches:
-            rows, nodes, bands, totals = batch.column("text").to_pylist(), [], [], []
-            for a, b in chunks(rows):
-                for hashes, count in bags(rows[a:b]):
-                    weight = count * weights.of(hashes)
-                    nodes.append(xxhash.xxh3_128_digest(hashes.tobytes() + count.tobytes()) if len(hashes) else None)
-                    bands.append(sampler.bands(hashes, weight).view(np.int64) if len(hashes) else None)
-                    totals.append(float(weight.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(totals)], ["doc_id", "node", "bands", "total"])
-
-    sampled = cut(texts.mapInArrow(sample, "doc_id long, node binary, bands array<long>, total double"))
-    nodes = sampled.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("total").alias("total"))
-    banded = nodes.select("node", "doc_id", "total", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    active = cut(banded.join(shared, "band").withColumn("met", F.sum("n").over(Window.partitionBy("node"))).drop("n"))
+            rows = []
+            for bag in all_bags(batch.column("text").to_pylist(), powers):
+                if not len(bag[0]):
+                    rows.append((None, None, None, 0))
+                    continue
+                weight = weights.of(bag)
+                drawn = sampler.samples(bag[0], weight)
+                rows.append((name_of(bag), sampler.bands(drawn).view(np.int64), (drawn >> np.uint64(56)).astype(np.uint8).tobytes(), int(weight.sum())))
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            kinds = (pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "node", "bands", "sketch", "total"])
 
     def bag_of(batches):
+        powers = Powers()
         for batch in batches:
-            rows, hashes, counts = batch.column("text").to_pylist(), [], []
-            for a, b in chunks(rows):
-                for h, n in bags(rows[a:b]):
-                    hashes.append(h.view(np.int64))
-                    counts.append(n)
-            made = [pa.array([xxhash.xxh3_128_digest(h.tobytes() + n.tobytes()) for h, n in zip(hashes, counts, strict=True)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*made, pa.array(hashes, pa.list_(pa.int64())), pa.array([n.astype(np.int32) for n in counts], pa.list_(pa.int32()))], ["node", "hashes", "counts"])
+            made = [(name_of(bag), packed(bag[0], weights.of(bag))) for bag in all_bags(batch.column("text").to_pylist(), powers)]
+            columns = list(zip(*made, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["node", "bag"])
 
     def compare(batches):
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("u", "v")]
-            lists = [batch.column(c) for c in ("hashes", "counts", "other_hashes", "other_counts")]
-            flat = [(np.asarray(x.offsets), np.asarray(x.values)) for x in lists]
-            keep = []
-            for i in range(batch.num_rows):
-                h, n, g, m = (v[o[i] : o[i + 1]] for o, v in flat)
-                keep.append(similarity((h.view(np.uint64), n), (g.view(np.uint64), m), weights) >= threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    wanted = active.select("node", "doc_id").distinct()
-    pairs_bags = texts.join(wanted.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text").mapInArrow(bag_of, "node binary, hashes array<long>, counts array<int>")
-    vectors = cut(pairs_bags.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    active = active.select("band", "node", "total", "met")
-    near = F.least("total", "other") >= (threshold - 1e-9) * F.greatest("total", "other")
+            one, other = batch.column("bag").to_pylist(), batch.column("other").to_pylist()
+            keep = [similarity(unpacked(a), unpacked(b)) >= threshold for a, b in zip(one, other, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    def alike(batches):
+        for batch in batches:
+            a, b = sketches(batch.column("sketch")), sketches(batch.column("other"))
+            same = (a == b).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(same.astype(np.int32))], ["u", "v", "same"]).filter(pa.array(same >= ALIKE))
+
+    sampled = cut(texts.mapInArrow(sample, f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, bands array<long>, sketch binary, total long"))
+    nodes = sampled.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("bands", "sketch", "total")))
+    nodes = cut(nodes.withColumn("n", F.monotonically_increasing_id()))  # fixed from here on, as the rows are written
+    places = nodes.select("n", F.explode("bands").alias("band"))
+    shared = places.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("u")).where("k > 1").select("band", "u")
+    buckets = cut(places.join(shared, "band"))
+    wanted = cut(nodes.join(buckets.select("n").distinct(), "n", "left_semi").select("n", "node", "doc_id", "sketch", "total"))
+    rows = texts.join(wanted.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
+    vectors = rows.mapInArrow(bag_of, "node binary, bag binary").join(wanted.select("node", "n"), "node").groupBy("n").agg(F.first("bag").alias("bag"))
+    vectors = cut(vectors)
+    known = wanted.select("n", "sketch", "total")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        one = vectors.select(F.col("node").alias("v"), "hashes", "counts")
-        other = vectors.select(F.col("node").alias("u"), F.col("hashes").alias("other_hashes"), F.col("counts").alias("other_counts"))
-        return cut(pairs.join(one, "v").join(other, "u").mapInArrow(compare, "u binary, v binary"))
-
-    # First each node meets one leader, the best of its buckets: that joins most of what belongs together.
-    best = active.groupBy("band").agg(F.max(F.struct("met", F.xxhash64("node").alias("by"), "node", "total")).alias("b"))
-    first = active.join(best, "band").withColumn("other", F.col("b.total")).where((F.col("b.node") != F.col("node")) & near)
-    first = first.groupBy("node").agg(F.max(F.struct("b.met", "b.by", "b.node")).alias("b"))
-    label = components(linked(first.select(F.col("b.node").alias("u"), F.col("node").alias("v"))))
-    for k in itertools.count():  # ends, as every open bucket loses a leader a round
-        named = active.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        open_ = cut(named.join(several, "band", "left_semi"))
-        if open_.isEmpty():
+        both = pairs.join(vectors.select(F.col("n").alias("v"), "bag"), "v").join(vectors.select(F.col("n").alias("u"), F.col("bag").alias("other")), "u")
+        return cut(both.mapInArrow(compare, "u long, v long"))
+
+    first = buckets.where("n <> u").select("u", F.col("n").alias("v")).distinct()
+    first = first.join(known.select(F.col("n").alias("v"), "sketch", "total"), "v").join(known.select(F.col("n").alias("u"), F.col("sketch").alias("other"), F.col("total").alias("all")), "u")
+    first = first.where(F.least("total", "all") >= (threshold - 1e-9) * F.greatest("total", "all")).mapInArrow(alike, "u long, v long, same int")
+    settled = cut(first.groupBy("v").agg(F.max_by("u", F.struct("same", "u")).alias("u")).select("u", "v"))
+    label = cut(components(linked(settled)))
+    members, most = buckets.select("band", "n"), MOST
+    while True:
+        named = members.join(label, members["n"] == label["node"], "left").select("band", "n", F.coalesce("label", "n").alias("label"))
+        by = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
+        several = by.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.sum("k").alias("k"), F.max(F.struct("k", "label")).alias("top")).where("labels > 1")
+        grid = several.select("band", F.col("top.label").alias("major"), F.ceil(F.col("k") / SLICE).alias("slices"), F.ceil((F.col("k") - F.col("top.k")) / SLICE).alias("blocks"))
+        open_ = named.join(grid, "band")
+        deal = lambda column, parts: F.pmod(F.xxhash64("n", F.lit(column)), F.col(parts))
+        every = open_.select("band", "n", "label", F.lit(0).alias("role"), deal("slice", "slices").alias("slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        few = open_.where("label <> major").select("band", "n", "label", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), deal("block", "blocks").alias("block"))
+        dealt = cut(every.unionByName(few).join(known, "n"))
+        size = dealt.count()
+        if not size:
+            break
+        groups = max(1, -(-size // GROUP))
+
+        def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            return open_pairs(table, most, threshold)
+
+        group = F.pmod(F.xxhash64("band", "slice", "block"), F.lit(groups)).alias("group")
+        found = cut(dealt.select("*", group).groupBy("group").applyInArrow(meet, "u long, v long, more boolean"))
+        fresh = cut(found.select("u", "v").distinct().join(settled.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
+        more = not found.where("more").isEmpty()
+        if not fresh.isEmpty():
+            links = linked(fresh)
+            settled = cut(settled.unionByName(fresh))
+            if not links.isEmpty():
+                of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+                ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left")
+                joined = components(ends.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v")))
+                renamed = label.withColumnRenamed("label", "old").join(joined.select(F.col("node").alias("old"), "label"), "old", "left").select("node", F.coalesce("label", "old").alias("label"))
+                label = cut(renamed.unionByName(joined.join(label, "node", "left_anti").select("node", "label")))
+        if not more:
             break
-        order = Window.partitionBy("band").orderBy(F.desc("met"), F.xxhash64("node"), "node")
-        leaders = open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS[min(k, len(LEADERS) - 1)])
-        leaders = leaders.select("band", F.col("node").alias("u"), F.col("label").alias("its"), F.col("total").alias("other"))
-        met = open_.join(leaders, "band").where((F.col("label") != F.col("its")) & near)
-        pairs = met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-        found = linked(pairs)
-        if not found.isEmpty():
-            joined = label.select(F.col("node").alias("u"), F.col("label").alias("v"))
-            label = components(joined.unionByName(found))
-        active = open_.drop("label").join(leaders.select("band", F.col("u").alias("node")), ["band", "node"], "left_anti")
-    named = sampled.select("doc_id", "node").join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("node"))
-    classes = named.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"))
-    return named.join(classes, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+        most *= MORE
+    classed = nodes.select("n", "node", "doc_id").join(label.withColumnRenamed("node", "n"), "n", "left").select("node", "doc_id", F.coalesce("label", "n").alias("label"))
+    names = classed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    named = classed.join(names, "label").select("node", "class_id")
+    return sampled.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,40 +24,27 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, read, text_of
+from .words import ODD, Powers, mix, word_hashes
 
 MAX_ORDER, BACKOFF = 3, 0.4
 BLOCK_CHARS, PART_CHARS = 8_000_000, 8_000_000
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 class Exploded:
     """The n-grams of a block's documents, order by order."""
 
     def __init__(self, texts: list[str], max_order: int):
-        split = [t.split() for t in texts]
-        self.sizes = np.array([len(s) for s in split], np.int64)
-        vocab: dict[str, int] = {}
-        ids = np.fromiter((vocab.setdefault(w, len(vocab)) for s in split for w in s), np.int64, int(self.sizes.sum()))
-        del split
-        word = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in vocab), np.uint64, len(vocab))
+        word, self.sizes = word_hashes(texts, Powers())
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        gram = mix(word + ODD)[ids]
-        self.at, grams = [np.arange(len(ids))], [gram]
+        place = np.arange(len(word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        gram = mix(word + ODD)
+        self.at, grams = [np.arange(len(word))], [gram]
         for order in range(2, max_order + 1):
             longer = gram.copy()
-            longer[1:] = mix(gram[:-1] * ODD + mix(word + np.uint64(order))[ids[1:]])
+            longer[1:] = mix(gram[:-1] * ODD + mix(word[1:] + np.uint64(order)))
             gram = longer
             self.at.append(np.flatnonzero(place >= order - 1))
             grams.append(gram[self.at[-1]])

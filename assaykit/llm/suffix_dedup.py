@@ -37,12 +37,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, read, text_of
-from .ngram_lm import mix
+from .words import ODD, Powers, mix
 
 LENGTH = 400
 PHRASE_MASK, LONGEST, SURE = 15, 64, 67  #: a cut in 16 on average; every byte past 64 without one; cuts 67 bytes into a window depend on it alone
 BUCKET_BYTES = 2_000_000
-BASE = 0x9E3779B97F4A7C15
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
@@ -111,23 +110,6 @@ def suffix_array(symbols: list[int]) -> list[int]:
     return out
 
 
-class Powers:
-    """Polynomial fingerprints modulo 2**64 of any stretch of bytes, by prefix sums."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        n = len(data) + 1
-        if len(self.up) < n:
-            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                setattr(self, name, np.cumprod(np.r_[np.uint64(1), np.full(2 * n, base, np.uint64)]))
-        return np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: n - 1])]
-
-    def stretch(self, prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((prefix[b] - prefix[a]) * self.down[a])
-
-
 def leftmost_smallest(values: np.ndarray, width: int) -> np.ndarray:
     """Where the smallest of each ``width`` neighbours is, the leftmost of equals."""
     at, span = np.arange(len(values)), 1
@@ -227,7 +209,7 @@ def repeated_windows(contexts: list[bytes], groups: np.ndarray, anchors: np.ndar
     able = (sure == len(cuts)) | (place[t + best[t]] >= cuts[np.searchsorted(cuts, last, side="right") - 1])
     context, start, p = context[able], start[able], p[able]
     offset = (start - anchors[context] + (1 << 30)).astype(np.uint64)
-    key = mix(powers.stretch(prefix, p, p + length) ^ mix(offset + groups[context].astype(np.uint64) * np.uint64(BASE)))
+    key = mix(powers.stretch(prefix, p, p + length) ^ mix(offset + groups[context].astype(np.uint64) * ODD))
     _, where, count = np.unique(key, return_inverse=True, return_counts=True)
     again = count[where] > 1
     return context[again], start[again]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from assaykit.llm import hilbert_ann, near_dup, ngram_lm, suffix_dedup, top_k
+from assaykit.llm import hilbert_ann, near_dup, ngram_lm, suffix_dedup, top_k, words as words_
 
 
 def words(r, n, alphabet="abcdeé"):
@@ -108,10 +108,11 @@ def test_repeated_strings(spark, length):
 
 
 def brute_classes(texts, threshold=0.8):
-    own = near_dup.bags([(t or "").lower() for t in texts])
+    own = near_dup.bags([(t or "").lower() for t in texts], words_.Powers())
     n = sum(len(h) > 0 for h, _ in own)
     df = collections.Counter(x for h, _ in own for x in h.tolist())
     weights = near_dup.Weights({k: c for k, c in df.items() if c >= near_dup.RARE * n and c > 1}, n)
+    weighed = [(h, weights.of((h, c))) for h, c in own]
     parent = list(range(len(texts)))
 
     def root(i):
@@ -121,7 +122,7 @@ def brute_classes(texts, threshold=0.8):
 
     for i in range(len(texts)):
         for j in range(i):
-            if len(own[i][0]) and len(own[j][0]) and near_dup.similarity(own[i], own[j], weights) >= threshold:
+            if len(own[i][0]) and len(own[j][0]) and near_dup.similarity(weighed[i], weighed[j]) >= threshold:
                 parent[root(i)] = root(j)
     return [min(k for k in range(len(texts)) if root(k) == root(i)) for i in range(len(texts))]
 
@@ -147,17 +148,45 @@ def test_near_duplicates(spark):
 
 
 def test_near_duplicates_with_many_rounds(spark, monkeypatch):
-    """Buckets whose members stay in several classes are settled however many rounds it takes."""
-    monkeypatch.setattr(near_dup, "LEADERS", (1,))
-    monkeypatch.setattr(near_dup, "ROUNDS", 1, raising=False)
+    """Buckets whose members stay in several classes are settled however many rounds and slices it takes."""
+    for name, value in {"SLICE": 3, "GROUP": 4, "MOST": 1, "MORE": 2, "ALIKE": 1}.items():
+        monkeypatch.setattr(near_dup, name, value)
     r = random.Random(4)
     shared = words(r, 100)
-    texts = [shared + " " + words(r, 35) for _ in range(5)]
+    texts = [shared + " " + words(r, 35) for _ in range(14)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.class_id for x in near_dup.near_duplicates(frame).collect()}
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_samples_are_consistent():
+    """Samples agree as often as bags are similar, in short and long bags and with odd weights; a band as often as four samples."""
+    rng, sampler = np.random.default_rng(9), near_dup.Sampler()
+    for n in (30, 300, 5000):
+        same = bands = 0
+        for _ in range(60):
+            keys = np.unique(rng.integers(0, 2**64, n + n // 8, np.uint64, endpoint=False))
+            weight = rng.choice([8, 11, 16, 16, 16, 32], len(keys))
+            own = [np.sort(rng.permutation(len(keys))[:n]) for _ in range(2)]
+            drawn = [sampler.samples(keys[i], weight[i]) for i in own]
+            same += (drawn[0] == drawn[1]).mean() / 60 / near_dup.similarity(*((keys[i], weight[i]) for i in own))
+            bands += (sampler.bands(drawn[0]) == sampler.bands(drawn[1])).mean() / 60
+        assert same == pytest.approx(1, abs=0.03) and 0.3 < bands < 0.7
+
+
+def test_words_hashed_in_columns(monkeypatch):
+    r = random.Random(6)
+    texts = [words(r, 50), "", "a\x85b\xa0c d e f", " x ", "\x1cq\x1fz", "é\u3000ü\u2003ä\u2029" * 3, "a" * 30, words(r, 200, "aé ")]
+    plain = [t.split() for t in texts]
+    for piece in (1 << 20, 5):
+        monkeypatch.setattr(words_, "PIECE", piece)
+        hashes, sizes = words_.word_hashes(texts, words_.Powers())
+        assert sizes.tolist() == [len(p) for p in plain]
+        of = {}
+        assert all(of.setdefault(w, h) == h for w, h in zip((w for p in plain for w in p), hashes.tolist(), strict=True))
+        assert len(set(of.values())) == len(of)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102)]
     links = spark.createDataFrame([(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in chain], "u binary, v binary")
