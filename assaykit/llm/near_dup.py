@@ -12,15 +12,15 @@ Shares over RARE are exact: first each block of documents names the shingles in
 RARE / 2 of it, of which at most 2 / RARE times a document's mean shingles can matter; then these are counted.
 
 Equal bags are one node, however many copies there are. Inside a bucket nobody is compared with
-everybody. First each node meets one node, the best of the first members of its buckets; that
-joins most of what belongs together. Then, while a bucket's nodes are in several classes, those
-outside its largest class meet the others of other classes: a pair inside one class needs no
-comparison. A bucket is dealt to a grid of slices, so a task holds two slices of it at most.
-In a slice the bags' samples are compared, one byte each: fewer than ``ALIKE`` equal ones of the
-64 rule a pair out (at similarity 0.8 that goes wrong for one pair in fifty million, where banding
-misses two in ten thousand), and so do total weights too far apart. The pairs left are verified
-on whole bags, for each node the most alike first; more of them follow round by round until all are
-settled. There is no cap: rounds end when no node has an unsettled candidate left.
+everybody. First each node meets one node, the likeliest of the first members of its buckets; that
+joins most of what belongs together. Then, in each bucket whose nodes are in several classes, those
+outside its largest class meet the others of other classes; a pair inside one class needs no
+comparison. A bucket is dealt to a grid of slices of bounded bytes, so a task holds two slices of it
+at most, and only links leave a task. There, ``DRAWS`` more samples, a byte each, are compared: fewer
+than ``ALIKE`` equal ones rule a pair out (at similarity 0.8 that goes wrong for one pair in a
+hundred million, where banding misses two in ten thousand), and so do total weights too far apart.
+The pairs left are verified on whole bags, the most alike first, each in the first bucket that both
+nodes are in; one that other links have joined meanwhile needs no more.
 
 Defined results: words are lower-cased text between white space; documents without words
 (null, empty) are classes of their own; equal texts and repeated rows share a class; a class is
@@ -42,13 +42,11 @@ from .words import ODD, Powers, mix, word_hashes
 
 WORDS, SIMILARITY, RARE = 5, 0.8, 1e-3
 BANDS, ROWS = 16, 4
-DRAWS = BANDS * ROWS
-ALIKE = 32
+DRAWS, ALIKE = 256, 166
 TABLE = 1 << 14
 EIGHTHS = 8  #: weights are whole numbers of eighths
-BLOCK_DOCS, BLOCK_SHINGLES = 8192, 8_000_000  #: of a block that names its common shingles
-SLICE, GROUP = 1024, 16_384  #: rows of a bucket that meet; rows of small buckets that share a task's group
-MOST, MORE = 2, 8  #: pairs of a node that are verified in the first round of slices, and how many times more in each later one
+BLOCK_DOCS, BLOCK_SHINGLES = 8192, 4_000_000  #: of a block that names its common shingles
+SLICE, GROUP = 4_000_000, 16_000_000  #: bytes of a bucket's slice, and of the slices that share a group
 
 Bag = tuple[np.ndarray, np.ndarray]
 
@@ -124,48 +122,51 @@ class Sampler:
     is worked out once for each draw, so that a bag's winner is the smallest of its rows' places.
     """
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, draws: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.r, self.c = rng.gamma(2, 1, (2, TABLE, DRAWS)).astype(np.float32)
-        self.beta = rng.uniform(0, 1, (TABLE, DRAWS)).astype(np.float32)
-        self.usual, self.draws = 2 * EIGHTHS, np.arange(DRAWS)
-        self.cost, self.step = self.at(np.arange(TABLE), np.full(TABLE, self.usual))
-        self.row_at = np.argsort(self.cost, axis=0, kind="stable")  # by draw: rows from the cheapest
-        self.place = np.empty((TABLE, DRAWS), np.uint16)
-        np.put_along_axis(self.place, self.row_at, np.arange(TABLE, dtype=np.uint16)[:, None], axis=0)
-
-    def at(self, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.r, self.c, self.beta = (np.empty((TABLE, draws), np.float32) for _ in range(3))
+        self.row_at, self.place = (np.empty((TABLE, draws), np.uint16) for _ in range(2))  # by draw: rows from the cheapest, and each row's place among them
+        self.usual, self.draws, rows = 2 * EIGHTHS, np.arange(draws), np.arange(TABLE)
+        for d in range(draws):
+            self.r[:, d], self.c[:, d], self.beta[:, d] = rng.gamma(2, 1, TABLE), rng.gamma(2, 1, TABLE), rng.uniform(0, 1, TABLE)
+            order = np.argsort(self.at(rows, self.usual, d)[0], kind="stable")
+            self.row_at[:, d], self.place[order, d] = order, rows
+
+    def at(self, row: np.ndarray, weight: np.ndarray | int, draw: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
         """Costs and steps of rows at a weight in eighths."""
-        r, beta = self.r[row], self.beta[row]
-        step = np.floor(np.log(weight / EIGHTHS).astype(np.float32)[:, None] / r + beta)
-        return np.log(self.c[row]) - r * (step - beta) - r, step.astype(np.int32)
+        r, beta = self.r[row, draw], self.beta[row, draw]
+        step = np.floor(np.log(np.float32(weight) / np.float32(EIGHTHS)) / r + beta)
+        return np.log(self.c[row, draw]) - r * (step - beta) - r, step.astype(np.int32)
 
     def samples(self, hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """One hash for each draw, of the element and the step that win."""
         row = (mix(hashes) % np.uint64(TABLE)).astype(np.int64)
         plain = weight == self.usual
-        cost, step, best = np.full(DRAWS, np.inf, np.float32), np.zeros(DRAWS, np.int32), np.zeros(DRAWS, np.int64)
+        n = len(self.draws)
+        cost, step, best = np.full(n, np.inf, np.float32), np.zeros(n, np.int32), np.zeros(n, np.int64)
         if (usual := np.flatnonzero(plain)).size:
             own = row[usual]
-            won = self.row_at[self.place[own].min(0), self.draws]
+            least = np.min([self.place[own[a : a + 8192]].min(0) for a in range(0, len(own), 8192)], axis=0)
+            won = self.row_at[least, self.draws].astype(np.int64)
             order = np.argsort(own, kind="stable")  # of several elements of a row the smallest hash
             best = usual[order[np.searchsorted(own[order], won)]]
-            cost, step = self.cost[won, self.draws], self.step[won, self.draws]
+            cost, step = self.at(won, self.usual, self.draws)
         odd = np.flatnonzero(~plain)
-        for a in range(0, len(odd), 8192):
-            part = odd[a : a + 8192]
-            costs, steps = self.at(row[part], weight[part])
+        for a in range(0, len(odd), 2048):
+            part = odd[a : a + 2048]
+            costs, steps = self.at(row[part][:, None], weight[part][:, None], self.draws[None, :])
             least = costs.argmin(0)
             found = costs[least, self.draws]
             better = (found < cost) | ((found == cost) & (part[least] < best))
             cost, step, best = np.where(better, found, cost), np.where(better, steps[least, self.draws], step), np.where(better, part[least], best)
         return mix(hashes[best] + mix(step.astype(np.int64).astype(np.uint64) + np.uint64(1)))
 
-    def bands(self, samples: np.ndarray) -> np.ndarray:
-        key, by = mix(np.arange(BANDS).astype(np.uint64) + np.uint64(77)), samples.reshape(BANDS, ROWS)
-        for k in range(ROWS):
-            key = mix(key * ODD + by[:, k])
-        return key
+
+def band_keys(samples: np.ndarray) -> np.ndarray:
+    key, by = mix(np.arange(BANDS).astype(np.uint64) + np.uint64(77)), samples.reshape(BANDS, ROWS)
+    for k in range(ROWS):
+        key = mix(key * ODD + by[:, k])
+    return key
 
 
 def similarity(a: Bag, b: Bag) -> float:
@@ -256,48 +257,64 @@ def components(links: DataFrame) -> DataFrame:
 
 def equal_samples(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many samples each row of a shares with each row of b."""
-    out = np.zeros((len(a), len(b)), np.uint8)
+    out = np.zeros((len(a), len(b)), np.int16)
     for k in range(a.shape[1]):
         out += a[:, k, None] == b[None, :, k]
     return out
 
 
 def sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, DRAWS)
-
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), DRAWS)
 
-def open_pairs(table: pa.Table, most: int, threshold: float) -> pa.Table:
-    """In each slice of a bucket, the pairs of a row of the smaller classes (role 1) with a row of another class that may be similar.
 
-    For each such row the ``most`` most alike ones (all of equal standing with the last of them count as one more); ``more`` tells whether any were left.
-    """
+def bucket_links(table: pa.Table, threshold: float) -> pa.Table:
+    """In each slice of a bucket, links between a row of the smaller classes (role 1) and a row of another class (role 0), as few as join them."""
     column = {c: np.asarray(table.column(c)) for c in ("band", "slice", "block", "role", "n", "label", "total")}
-    every = sketches(table.column("sketch"))
+    every, packs, bands = sketches(table.column("sketch")), table.column("bag").to_pylist(), np.array(table.column("bands").to_pylist(), np.int64)
     order = np.lexsort((column["n"], column["role"], column["block"], column["slice"], column["band"]))
     keys = [column[c][order] for c in ("band", "slice", "block")]
     begins = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-    found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]]
+    parent: dict[int, int] = {}
+    known: dict[int, Bag] = {}
+    links: list[tuple[int, int]] = []
+
+    def root(label: int) -> int:
+        while (above := parent.get(label, label)) != label:
+            parent[label] = label = parent.get(above, above)
+        return label
+
+    def bag(row: int) -> Bag:
+        n = int(column["n"][row])
+        if n not in known:
+            known[n] = unpacked(packs[row])
+        return known[n]
+
     for a, b in zip(begins, np.r_[begins[1:], len(order)], strict=True):
         own = order[a:b]
         low, all_ = own[column["role"][own] == 1], own[column["role"][own] == 0]
-        for c in range(0, len(low), 256):
-            part = low[c : c + 256]
-            same = equal_samples(every[part], every[all_]).astype(np.int16)
+        pairs = []
+        for c in range(0, len(low), 64):
+            part = low[c : c + 64]
             x, y = column["total"][part][:, None], column["total"][all_][None, :]
-            same[(column["label"][part][:, None] == column["label"][all_][None, :]) | (np.minimum(x, y) < (threshold - 1e-9) * np.maximum(x, y))] = 0
-            same[same < ALIKE] = 0
-            some = min(most, same.shape[1])
-            if not some:
-                continue
-            best = np.argpartition(-same, some - 1, axis=1)[:, :some]
-            left = (same > 0).sum(1) > some
-            hit = np.take_along_axis(same, best, axis=1) > 0
-            i, j = np.nonzero(hit)
-            found[0].append(column["n"][part[i]])
-            found[1].append(column["n"][all_[best[i, j]]])
-            found[2].append(left[i])
-    u, v, more = map(np.concatenate, found)
-    return pa.table([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(more)], names=["u", "v", "more"])
+            able = (column["label"][part][:, None] != column["label"][all_][None, :]) & (np.minimum(x, y) >= (threshold - 1e-9) * np.maximum(x, y))
+            if able.any():
+                same = equal_samples(every[part], every[all_])
+                i, j = np.nonzero(able & (same >= ALIKE))
+                common = bands[part[i]] == bands[all_[j]]
+                here = bands[part[i], common.argmax(1)] == column["band"][own[0]]
+                pairs.append((same[i, j][here], part[i][here], all_[j][here]))
+        if not pairs:
+            continue
+        same, left, right = map(np.concatenate, zip(*pairs, strict=True))
+        for k in np.argsort(-same.astype(np.int64), kind="stable").tolist():
+            u, v = root(int(column["label"][left[k]])), root(int(column["label"][right[k]]))
+            if u != v and similarity(bag(left[k]), bag(right[k])) >= threshold:
+                parent[max(u, v)] = min(u, v)
+                links.append((u, v))
+        if len(known) > 100_000:
+            known.clear()
+    columns = list(zip(*links, strict=True)) or [(), ()]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -306,95 +323,83 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     weights = common_shingles(texts)
 
     def sample(batches):
-        sampler, powers = Sampler(), Powers()
+        sampler, powers = Sampler(BANDS * ROWS, 5), Powers()
         for batch in batches:
             rows = []
             for bag in all_bags(batch.column("text").to_pylist(), powers):
-                if not len(bag[0]):
-                    rows.append((None, None, None, 0))
-                    continue
-                weight = weights.of(bag)
-                drawn = sampler.samples(bag[0], weight)
-                rows.append((name_of(bag), sampler.bands(drawn).view(np.int64), (drawn >> np.uint64(56)).astype(np.uint8).tobytes(), int(weight.sum())))
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            kinds = (pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "node", "bands", "sketch", "total"])
+                if len(bag[0]):
+                    weight = weights.of(bag)
+                    rows.append((name_of(bag), band_keys(sampler.samples(bag[0], weight)).view(np.int64), int(weight.sum())))
+                else:
+                    rows.append((None, None, 0))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            kinds = (pa.binary(), pa.list_(pa.int64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "node", "bands", "total"])
 
     def bag_of(batches):
-        powers = Powers()
+        sampler, powers = Sampler(DRAWS, 6), Powers()
         for batch in batches:
-            made = [(name_of(bag), packed(bag[0], weights.of(bag))) for bag in all_bags(batch.column("text").to_pylist(), powers)]
-            columns = list(zip(*made, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["node", "bag"])
+            made = []
+            for bag in all_bags(batch.column("text").to_pylist(), powers):
+                if len(bag[0]):
+                    weight = weights.of(bag)
+                    made.append((name_of(bag), packed(bag[0], weight), (sampler.samples(bag[0], weight) >> np.uint64(56)).astype(np.uint8).tobytes()))
+            columns = list(zip(*made, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["node", "bag", "sketch"])
 
-    def compare(batches):
+    def likely(batches):
         for batch in batches:
-            one, other = batch.column("bag").to_pylist(), batch.column("other").to_pylist()
-            keep = [similarity(unpacked(a), unpacked(b)) >= threshold for a, b in zip(one, other, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            same = (sketches(batch.column("sketch")) == sketches(batch.column("other"))).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(same.astype(np.int32))], ["u", "v", "same"]).filter(pa.array(same >= ALIKE))
 
-    def alike(batches):
+    def compare(batches):
         for batch in batches:
-            a, b = sketches(batch.column("sketch")), sketches(batch.column("other"))
-            same = (a == b).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(same.astype(np.int32))], ["u", "v", "same"]).filter(pa.array(same >= ALIKE))
+            keep = [similarity(unpacked(a), unpacked(b)) >= threshold for a, b in zip(batch.column("bag").to_pylist(), batch.column("other").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sampled = cut(texts.mapInArrow(sample, f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, bands array<long>, sketch binary, total long"))
-    nodes = sampled.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("bands", "sketch", "total")))
+    sampled = cut(texts.mapInArrow(sample, f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, bands array<long>, total long"))
+    nodes = sampled.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("total").alias("total"))
     nodes = cut(nodes.withColumn("n", F.monotonically_increasing_id()))  # fixed from here on, as the rows are written
     places = nodes.select("n", F.explode("bands").alias("band"))
     shared = places.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("u")).where("k > 1").select("band", "u")
     buckets = cut(places.join(shared, "band"))
-    wanted = cut(nodes.join(buckets.select("n").distinct(), "n", "left_semi").select("n", "node", "doc_id", "sketch", "total"))
-    rows = texts.join(wanted.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
-    vectors = rows.mapInArrow(bag_of, "node binary, bag binary").join(wanted.select("node", "n"), "node").groupBy("n").agg(F.first("bag").alias("bag"))
-    vectors = cut(vectors)
-    known = wanted.select("n", "sketch", "total")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(vectors.select(F.col("n").alias("v"), "bag"), "v").join(vectors.select(F.col("n").alias("u"), F.col("bag").alias("other")), "u")
-        return cut(both.mapInArrow(compare, "u long, v long"))
-
+    wanted = nodes.join(buckets.select("n").distinct(), "n", "left_semi")
+    ids = cut(wanted.select("node", "doc_id"))
+    rows = texts.join(ids.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+    made = rows.mapInArrow(bag_of, "node binary, bag binary, sketch binary").join(ids.select("node"), "node", "left_semi")
+    known = cut(made.groupBy("node").agg(F.first("bag").alias("bag"), F.first("sketch").alias("sketch")).join(nodes, "node").select("n", "bands", "total", "sketch", "bag"))
+
+    # First each node meets one node.
+    near = F.least("total", "all") >= (threshold - 1e-9) * F.greatest("total", "all")
     first = buckets.where("n <> u").select("u", F.col("n").alias("v")).distinct()
     first = first.join(known.select(F.col("n").alias("v"), "sketch", "total"), "v").join(known.select(F.col("n").alias("u"), F.col("sketch").alias("other"), F.col("total").alias("all")), "u")
-    first = first.where(F.least("total", "all") >= (threshold - 1e-9) * F.greatest("total", "all")).mapInArrow(alike, "u long, v long, same int")
-    settled = cut(first.groupBy("v").agg(F.max_by("u", F.struct("same", "u")).alias("u")).select("u", "v"))
-    label = cut(components(linked(settled)))
-    members, most = buckets.select("band", "n"), MOST
-    while True:
-        named = members.join(label, members["n"] == label["node"], "left").select("band", "n", F.coalesce("label", "n").alias("label"))
-        by = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
-        several = by.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.sum("k").alias("k"), F.max(F.struct("k", "label")).alias("top")).where("labels > 1")
-        grid = several.select("band", F.col("top.label").alias("major"), F.ceil(F.col("k") / SLICE).alias("slices"), F.ceil((F.col("k") - F.col("top.k")) / SLICE).alias("blocks"))
-        open_ = named.join(grid, "band")
-        deal = lambda column, parts: F.pmod(F.xxhash64("n", F.lit(column)), F.col(parts))
-        every = open_.select("band", "n", "label", F.lit(0).alias("role"), deal("slice", "slices").alias("slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        few = open_.where("label <> major").select("band", "n", "label", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), deal("block", "blocks").alias("block"))
-        dealt = cut(every.unionByName(few).join(known, "n"))
-        size = dealt.count()
-        if not size:
-            break
-        groups = max(1, -(-size // GROUP))
-
-        def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            return open_pairs(table, most, threshold)
+    best = first.where(near).mapInArrow(likely, "u long, v long, same int").groupBy("v").agg(F.max_by("u", F.struct("same", "u")).alias("u"))
+    both = best.join(known.select(F.col("n").alias("v"), "bag"), "v").join(known.select(F.col("n").alias("u"), F.col("bag").alias("other")), "u")
+    label = components(both.mapInArrow(compare, "u long, v long"))
+
+    # Then buckets of several classes are settled.
+    member = buckets.select("band", "n").join(known.select("n", F.length("bag").alias("size")), "n").join(label.withColumnRenamed("node", "n"), "n", "left")
+    member = cut(member.select("band", "n", F.col("size") + 500, F.coalesce("label", "n").alias("label")).toDF("band", "n", "size", "label"))
+    by = member.groupBy("band", "label").agg(F.sum("size").alias("size"))
+    several = by.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.sum("size").alias("size"), F.max(F.struct("size", "label")).alias("top")).where("labels > 1")
+    grid = several.select("band", F.col("top.label").alias("major"), F.ceil(F.col("size") / SLICE).alias("slices"), F.ceil((F.col("size") - F.col("top.size")) / SLICE).alias("blocks"))
+    open_ = member.join(grid, "band")
+    deal = lambda column, parts: F.pmod(F.xxhash64("n", F.lit(column)), F.col(parts))
+    whole = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    every = open_.select("band", "n", "size", "label", F.lit(0).alias("role"), deal("slice", "slices").alias("slice"), whole("blocks").alias("block"))
+    few = open_.where("label <> major").select("band", "n", "size", "label", F.lit(1).alias("role"), whole("slices").alias("slice"), deal("block", "blocks").alias("block"))
+    dealt = cut(every.unionByName(few))
+    size = dealt.agg(F.sum("size").alias("n")).first()["n"]
+    if size:
+        groups = -(-size // GROUP)
+
+        def settle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            return bucket_links(table, threshold)
 
         group = F.pmod(F.xxhash64("band", "slice", "block"), F.lit(groups)).alias("group")
-        found = cut(dealt.select("*", group).groupBy("group").applyInArrow(meet, "u long, v long, more boolean"))
-        fresh = cut(found.select("u", "v").distinct().join(settled.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
-        more = not found.where("more").isEmpty()
-        if not fresh.isEmpty():
-            links = linked(fresh)
-            settled = cut(settled.unionByName(fresh))
-            if not links.isEmpty():
-                of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-                ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left")
-                joined = components(ends.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v")))
-                renamed = label.withColumnRenamed("label", "old").join(joined.select(F.col("node").alias("old"), "label"), "old", "left").select("node", F.coalesce("label", "old").alias("label"))
-                label = cut(renamed.unionByName(joined.join(label, "node", "left_anti").select("node", "label")))
-        if not more:
-            break
-        most *= MORE
+        joined = components(dealt.join(known, "n").select("*", group).groupBy("group").applyInArrow(settle, "u long, v long"))
+        renamed = label.withColumnRenamed("label", "old").join(joined.select(F.col("node").alias("old"), "label"), "old", "left").select("node", F.coalesce("label", "old").alias("label"))
+        label = renamed.unionByName(joined.join(label, "node", "left_anti").select("node", "label"))
     classed = nodes.select("n", "node", "doc_id").join(label.withColumnRenamed("node", "n"), "n", "left").select("node", "doc_id", F.coalesce("label", "n").alias("label"))
     names = classed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     named = classed.join(names, "label").select("node", "class_id")
