@@ -8,12 +8,17 @@ A byte goes if it lies in a string of ``length`` bytes that starts anywhere else
    run's bytes are its context.
 2. Runs whose anchor occurs once are dropped. Equal contexts are counted: a context that
    occurs twice repeats whole, however many copies there are, and is known by its hash.
-3. Of anchors with several different contexts, each different context is taken once and
-   cut into phrases at places that depend on the three bytes before them. A suffix array of
-   the phrases (symbols are kept apart by anchor) gives each suffix the longest match it has in any
-   other context; a window whose phrases are not all in such a match cannot repeat. The windows
-   left are compared exactly at their place from the anchor.
-4. The covered bytes of a document are merged and cut out.
+3. Of anchors with several different contexts, each different context is taken once. What follows
+   the anchor is one string, what precedes it, reversed, another; strings are cut into phrases
+   at places that depend on the three bytes before them, and a suffix array of all phrases puts the
+   strings of each side in order. From the order, the bytes that neighbours in it share tell which
+   contexts share any stretch on either side, byte for byte: two contexts share the window that starts
+   d bytes before the anchor if they are in one class of d bytes before it and in one of
+   ``length`` - d bytes after it.
+4. Contexts of an anchor that has more than ``MANY`` different ones are dealt to two halves of the
+   places d, keyed by all bytes that the windows of a half have in common, and so on while a key has
+   too many; at one place the key is the window itself. So no group grows with the corpus.
+5. The covered bytes of a document are merged and cut out.
 
 The suffix array is built by linear grouping: suffixes start in groups of equal first
 symbols, and groups are taken in descending order; the previous smaller suffix of each member
@@ -33,15 +38,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import cut, read, text_of
 from .words import ODD, Powers, mix
 
 LENGTH = 400
-PHRASE_MASK, LONGEST, SURE = 15, 64, 67  #: a cut in 16 on average; every byte past 64 without one; cuts 67 bytes into a window depend on it alone
-BUCKET_BYTES = 2_000_000
+PHRASE_MASK, LONGEST = 15, 64  #: a cut in 16 on average; every byte past 64 without one
+BUCKET_BYTES, MANY = 2_000_000, 2048
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
@@ -155,64 +159,83 @@ def phrases_of(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([cuts, *extra])) if extra else cuts
 
 
-def repeated_windows(contexts: list[bytes], groups: np.ndarray, anchors: np.ndarray, length: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of contexts that occur in another context of their group: (context, start within it).
+def ordered(strings: list[bytes]) -> np.ndarray:
+    """The strings in an order in which those that start with the same bytes stand together, by a suffix array of phrases.
 
-    ``anchors`` has each context's anchor place within it; equal windows lie equally far from it.
+    Phrases are cut alike in strings as far as these are alike, and ranked as strings of bytes.
     """
-    sizes = np.array([len(c) for c in contexts], np.int64)
-    begins = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    prefix = powers.prefix(data)
+    sizes = np.array([len(x) for x in strings], np.int64)
+    full = np.flatnonzero(sizes)
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    if not len(data):
+        return np.arange(len(strings))
+    begins = (np.cumsum(sizes) - sizes)[full]
     cuts = phrases_of(data, begins)
+    long = np.diff(np.r_[cuts, len(data)])
+    wide = np.zeros((len(cuts), int(long.max())), np.uint8)
+    row = np.repeat(np.arange(len(cuts)), long)
+    wide[row, np.arange(len(data)) - np.repeat(cuts, long)] = data + np.uint8(1)  # UTF-8 has no byte 255; 0 fills up
+    _, rank = np.unique(wide.view(f"S{wide.shape[1]}").ravel(), return_inverse=True)
+    # Symbols: 0 at the very end, 1 after each string, phrases from 2.
     owner = np.searchsorted(begins, cuts, side="right") - 1
-    ends = np.r_[cuts[1:], len(data)]
-    print_ = powers.stretch(prefix, cuts, ends) ^ mix(groups[owner].astype(np.uint64) + np.uint64(1))
-    _, rank = np.unique(print_, return_inverse=True)
-    # Symbols: 0 at the very end, 1 after each context, phrases from 2.
     at = np.arange(len(cuts)) + owner
-    n = len(cuts) + len(contexts) + 1
-    symbols = np.ones(n, np.int64)
-    symbols[-1] = 0
-    symbols[at] = rank + 2
-    place = np.zeros(n, np.int64)  # of each symbol's first byte; a separator's is its context's end
-    place[at] = cuts
-    place[np.cumsum(np.bincount(owner, minlength=len(contexts)) + 1) - 1] = begins + sizes
-    stop = np.zeros(n, np.int64)
-    last_of = np.cumsum(np.bincount(owner, minlength=len(contexts)) + 1) - 1
-    stop[at] = last_of[owner]
-    array = np.asarray(suffix_array(symbols.tolist()))
-    hashes = Powers()
-    sums = hashes.prefix(mix(symbols.astype(np.uint64)))
-
-    def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many symbols suffixes a and b share, within a's context."""
-        most = np.minimum(np.maximum(stop[a] - a, 0), n - np.maximum(a, b))
-        low, high = np.zeros(len(a), np.int64), most.copy()
-        while (open_ := low < high).any():
-            middle = (low + high + 1) // 2
-            same = hashes.stretch(sums, a, a + middle) == hashes.stretch(sums, b, b + middle)
-            low, high = np.where(open_ & same, middle, low), np.where(open_ & ~same, middle - 1, high)
-        return low
-
-    best = np.zeros(n, np.int64)
-    left, right = array[:-1], array[1:]
-    best[right] = shared(right, left)
-    best[left] = np.maximum(best[left], shared(left, right))
-    windows = sizes - length + 1
-    context = np.repeat(np.arange(len(contexts)), windows)
-    start = np.arange(len(context)) - np.repeat(np.cumsum(windows) - windows, windows)
-    p = begins[context] + start
-    sure = np.searchsorted(cuts, p + SURE)  # a phrase starts here in every copy of the window
-    t = at[np.minimum(sure, len(cuts) - 1)]
-    last = p + length - (p + length == begins[context] + sizes[context])  # a context's end is no cut of its copies
-    able = (sure == len(cuts)) | (place[t + best[t]] >= cuts[np.searchsorted(cuts, last, side="right") - 1])
-    context, start, p = context[able], start[able], p[able]
-    offset = (start - anchors[context] + (1 << 30)).astype(np.uint64)
-    key = mix(powers.stretch(prefix, p, p + length) ^ mix(offset + groups[context].astype(np.uint64) * ODD))
-    _, where, count = np.unique(key, return_inverse=True, return_counts=True)
-    again = count[where] > 1
-    return context[again], start[again]
+    symbols = np.ones(len(cuts) + len(full) + 1, np.int64)
+    symbols[-1], symbols[at] = 0, rank + 2
+    head = np.full(len(symbols), -1)
+    head[at[np.searchsorted(cuts, begins)]] = full
+    order = head[np.asarray(suffix_array(symbols.tolist()))]
+    return np.r_[np.flatnonzero(sizes == 0), order[order >= 0]]
+
+
+def shared_by_neighbours(strings: list[bytes], order: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How many bytes each string shares with the one before it in the order; -1 where the key changes."""
+    sizes = np.array([len(x) for x in strings], np.int64)[order]
+    out = np.full(len(order), -1)
+    width = max(1, int(sizes.max(initial=0)))
+    for a in range(0, len(order), 4096):
+        part = order[max(0, a - 1) : a + 4096]
+        wide = np.frombuffer(b"".join(strings[k].ljust(width, b"\0") for k in part), np.uint8).reshape(len(part), width)
+        differ = wide[1:] != wide[:-1]
+        first = np.where(differ.any(1), differ.argmax(1), width)
+        out[a + (a == 0) : a + 4096] = first
+    out[1:] = np.minimum(out[1:], np.minimum(sizes[1:], sizes[:-1]))
+    out[np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])] = -1
+    return out
+
+
+def repeated_windows(contexts: list[bytes], keys: np.ndarray, anchors: np.ndarray, length: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of contexts that occur in another context of their key: (context, start within it).
+
+    ``anchors`` has each context's anchor place within it; equal windows lie equally far from it, ``low`` to ``high`` bytes before.
+    """
+    n = len(contexts)
+    right = [c[a : a + length] for c, a in zip(contexts, anchors.tolist(), strict=True)]
+    left = [c[:a][::-1][:length] for c, a in zip(contexts, anchors.tolist(), strict=True)]
+    every = ordered(right + left)
+    sides = []
+    for strings, order in ((right, every[every < n]), (left, every[every >= n] - n)):
+        order = order[np.argsort(keys[order], kind="stable")]
+        sides.append((order, shared_by_neighbours(strings, order, keys)))
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    least, most = np.maximum(low, anchors - (sizes - length)), np.minimum(high, anchors)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    after, before = np.empty(n, np.int64), np.empty(n, np.int64)
+    for d in range(int(least.min(initial=0)), int(most.max(initial=-1)) + 1):
+        own = np.flatnonzero((least <= d) & (d <= most))
+        for (order, shared), number, out in ((sides[0], length - d, after), (sides[1], d, before)):
+            out[order] = np.cumsum(shared < number)
+        _, where, count = np.unique(before[own] * (n + 1) + after[own], return_inverse=True, return_counts=True)
+        again = own[count[where] > 1]
+        found.append((again, anchors[again] - d))
+    context, start = map(np.concatenate, zip(*found, strict=True))
+    by = np.lexsort((start, context))
+    return context[by], start[by]
+
+
+MEMBER = np.dtype([("id", "<i8"), ("mark", "<i8"), ("first", "<i4"), ("last", "<i4"), ("place", "<i4")])
+CONTEXT = ["id", "mark", "key", "k", "n", "first", "anchor", "low", "high", "bytes"]
+CONTEXT_SCHEMA = "id long, mark long, key long, k long, n long, first int, anchor int, low int, high int, bytes binary"
+KINDS = (*[pa.int64()] * 5, *[pa.int32()] * 4, pa.binary())
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -225,53 +248,80 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
-    """Rows (id, mark, text) to (id, mark, spans: array<struct<a, b>>), bytes a to b being repeated; only rows that have any."""
+def repeated_spans(keyed: DataFrame, placed: DataFrame, length: int) -> DataFrame:
+    """Rows (__id, __mark, __text, others) to (id, mark, spans: array<struct<a, b>>), bytes a to b being repeated; only rows that have any.
+
+    ``placed`` has the same rows, dealt by __id and __mark.
+    """
 
     def fingerprint(batches):
         powers = Powers()
         for batch in batches:
-            ids, marks, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            who, columns = [], [[] for _ in range(5)]
+            ids, marks, who, columns = *(np.asarray(batch.column(c)).astype(np.int64) for c in (0, 1)), [], [[] for _ in range(5)]
             for i, text in enumerate(batch.column(2).to_pylist()):
-                data = text.encode("utf-8")
+                data = (text or "").encode("utf-8")
                 if len(data) >= length:
                     found = runs_of(data, length, powers)
                     who.append(np.full(len(found[0]), i))
                     for c, v in zip(columns, found, strict=True):
                         c.append(v)
-            if who:
-                who = np.concatenate(who)
-                first, last, place, seed, context = (np.concatenate(c) for c in columns)
-                made = [pa.array(np.array(ids, np.int64)[who]), pa.array(np.array(marks, np.int64)[who]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(seed.view(np.int64)), pa.array(context.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(made, ["id", "mark", "first", "last", "place", "seed", "context"])
-
-    runs = keyed.mapInArrow(fingerprint, "id long, mark long, first int, last int, place int, seed long, context long").persist(StorageLevel.DISK_ONLY)
-    seeds = runs.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    often = cut(runs.join(seeds.hint("shuffle_hash"), "seed", "left_semi"))
-    runs.unpersist()
-    one = F.min(F.struct("id", "mark", "first", "last", "place")).alias("one")
-    classes = often.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("n"), one)
-    several = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("seed")
-    edges = cut(classes.join(several, "seed", "left_semi").select("seed", "n", "one.*"))
-    whole = often.join(classes.where("n > 1").select("seed", "context"), ["seed", "context"], "left_semi").select("id", "mark", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
-    size = edges.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + length), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(1, -(-size // BUCKET_BYTES))
-    asked = edges.groupBy("id", "mark").agg(F.collect_list(F.struct("seed", "n", "first", "last", "place")).alias("edges"))  # of one document
+            if not who:
+                continue
+            who = np.concatenate(who)
+            first, last, place, seed, context = (np.concatenate(c) for c in columns)
+            order = np.lexsort((context, seed))
+            member = np.rec.fromarrays([ids[who], marks[who], first, last, place], dtype=MEMBER)[order]
+            seed, context = seed[order], context[order]
+            begin = np.flatnonzero(np.r_[True, (seed[1:] != seed[:-1]) | (context[1:] != context[:-1])])
+            ends = np.r_[begin[1:], len(order)]
+            members = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((np.r_[begin, len(order)] * MEMBER.itemsize).astype(np.int32)), pa.py_buffer(member.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(seed[begin].view(np.int64)), pa.array(context[begin].view(np.int64)), pa.array(ends - begin), members], ["seed", "context", "n", "members"])
+
+    def told(batches):
+        """Members as rows."""
+        for batch in batches:
+            blobs = batch.column("members").to_pylist()
+            each = np.frombuffer(b"".join(blobs), MEMBER)
+            row = pa.array(np.repeat(np.arange(len(blobs)), [len(b) // MEMBER.itemsize for b in blobs]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("seed", "k", "n")), *(pa.array(np.ascontiguousarray(each[c])) for c in MEMBER.names)], ["seed", "k", "n", *MEMBER.names])
+
+    # Equal contexts of a batch travel as one row, so a stretch that a third of the texts share is a row a batch.
+    runs = keyed.select("__id", "__mark", "__text").mapInArrow(fingerprint, "seed long, context long, n long, members binary")
+    often = cut(runs.withColumn("k", F.sum("n").over(Window.partitionBy("seed"))).where("k > 1").drop("k"))
+    flat = "seed long, k long, n long, id long, mark long, first int, last int, place int"
+    classes = often.groupBy("seed", "context").agg(F.sum("n").alias("n"), F.min(F.substring("members", 1, MEMBER.itemsize)).alias("members"))
+    several = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    edges = cut(classes.join(several, "seed").select("seed", "k", "n", "members").mapInArrow(told, flat))
+    twice = often.select("seed", "context", "members").join(classes.where("n > 1").select("seed", "context", "n"), ["seed", "context"])
+    whole = twice.select("seed", F.lit(0).cast("long").alias("k"), "n", "members").mapInArrow(told, flat).select("id", "mark", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    facts = edges.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + length), F.lit(0)).alias("n"), F.coalesce(F.max("k"), F.lit(0)).alias("k")).first()
+    asked = edges.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list(F.struct("seed", "k", "n", "first", "last", "place")).alias("edges"))  # of one document
 
     def contexts(batches):
         for batch in batches:
             rows = []
-            for i, m, text, own in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "text", "edges")), strict=True):
-                data = text.encode("utf-8")
-                rows += [(i, m, e["seed"], e["n"], e["first"], e["place"] - e["first"], data[e["first"] : e["last"] + length]) for e in own]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "mark", "seed", "n", "first", "anchor", "bytes"])
+            for i, m, text, own in zip(*(batch.column(c).to_pylist() for c in ("__id", "__mark", "__text", "edges")), strict=True):
+                data = (text or "").encode("utf-8")
+                rows += [(i, m, e["seed"], e["k"], e["n"], e["first"], e["place"] - e["first"], 0, length - length // 2, data[e["first"] : e["last"] + length]) for e in own]
+            columns = list(zip(*rows, strict=True)) or [()] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)], CONTEXT)
+
+    def halves(batches):
+        for batch in batches:
+            rows = []
+            for i, m, key, k, n, first, anchor, low, high, data in zip(*(batch.column(c).to_pylist() for c in CONTEXT), strict=True):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    if max(a, anchor - (len(data) - length)) <= min(b, anchor):
+                        shared = xxhash.xxh3_64_intdigest(data[anchor - a : anchor + length - b], key & (2**64 - 1) ^ a)
+                        rows.append((i, m, shared - (shared >> 63 << 64), k, n, first, anchor, a, b, data))
+            columns = list(zip(*rows, strict=True)) or [()] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)], CONTEXT)
 
     def match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, groups = np.unique(np.asarray(table.column("seed")), return_inverse=True)
-        context, start = repeated_windows(table.column("bytes").to_pylist(), groups, np.asarray(table.column("anchor")).astype(np.int64), length, Powers())
+        _, keys = np.unique(np.asarray(table.column("key")), return_inverse=True)
+        anchors, low, high = (np.asarray(table.column(c)).astype(np.int64) for c in ("anchor", "low", "high"))
+        context, start = repeated_windows(table.column("bytes").to_pylist(), keys, anchors, length, low, high)
         single = np.asarray(table.column("n"))[context] == 1  # the others are repeated whole
         context, start = context[single], start[single]
         begin = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (start[1:] != start[:-1] + 1)][: len(context)])
@@ -281,39 +331,59 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
         a, b = first[context[begin]] + start[begin], first[context[begin]] + start[stop] + length
         return pa.table([pa.array(ids), pa.array(marks), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["id", "mark", "a", "b"])
 
-    texts = keyed.join(asked, ["id", "mark"]).mapInArrow(contexts, "id long, mark long, seed long, n long, first int, anchor int, bytes binary")
-    bucket = F.pmod(F.xxhash64("seed"), F.lit(buckets)).alias("bucket")
-    parts = texts.select("*", bucket).groupBy("bucket").applyInArrow(match, "id long, mark long, a int, b int")
-    return whole.unionByName(parts).groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    def matched(rows: DataFrame, size: int) -> DataFrame:
+        bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-size // BUCKET_BYTES)))).alias("bucket")
+        return rows.select("*", bucket).groupBy("bucket").applyInArrow(match, "id long, mark long, a int, b int")
+
+    rows = placed.join(asked, ["__id", "__mark"]).mapInArrow(contexts, CONTEXT_SCHEMA)
+    found = whole.unionByName(matched(rows.where(F.col("k") <= MANY), facts["n"]))
+    level = rows.where(F.col("k") > MANY).drop("k") if facts["k"] > MANY else None
+    while level is not None:  # ends, as places are halved each time
+        level = cut(level.withColumn("k", F.lit(0).cast("long")).mapInArrow(halves, CONTEXT_SCHEMA).drop("k"))
+        sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        level = cut(level.join(sizes, "key"))
+        alone = F.col("low") == F.col("high")  # the key is the window: all that have it repeat it
+        at = F.col("first") + F.col("anchor") - F.col("low")
+        found = found.unionByName(level.where(alone).select("id", "mark", at.cast("int").alias("a"), (at + length).cast("int").alias("b")))
+        few = level.where(~alone & (F.col("k") <= MANY))
+        size = few.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0)).alias("n")).first()["n"]
+        if size:
+            found = found.unionByName(matched(few, size))
+        level = level.where(~alone & (F.col("k") > MANY)).drop("k")
+        if level.isEmpty():
+            break
+    return found.groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def split_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
-    """The columns ``keep`` of every document with the text left and the removed spans of bytes; or their digests.
+    """The columns ``keep`` of every document with the text left (``kept``) and the removed spans of bytes; or their digests and the text left (``text``).
 
     A character that a span cuts in two is left out of the text; digests take bytes.
     """
     # What repeats in a text depends on the text alone, so rows with equal keys and texts may share spans.
     text = text_of(docs)
-    keyed = docs.select(*keep, F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("__id"), F.xxhash64(text).alias("__mark"), text.alias("__text"))
-    bare = keyed.select(F.col("__id").alias("id"), F.col("__mark").alias("mark"), F.col("__text").alias("text"))
-    spans = repeated_spans(bare, length).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans"))
+    others = [c for c in keep if c != "text"]
+    keyed = docs.select(*others, F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("__id"), F.xxhash64(text).alias("__mark"), docs["text"].cast("string").alias("__text"))
+    placed = keyed.repartition("__id", "__mark")  # the texts cross the network once, for both joins
+    spans = repeated_spans(keyed, placed, length).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans"))
 
     def run(batches):
         for batch in batches:
             rows = []
             for text, found in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-                data = text.encode("utf-8")
+                data = (text or "").encode("utf-8")
                 spans = merged([(s["a"], s["b"]) for s in found or ()])
                 kept = b"".join(data[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(data)], strict=True))
-                rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) if digests else (kept.decode("utf-8", "ignore"), [{"a": a, "b": b} for a, b in spans]))
-            columns = list(zip(*rows, strict=True)) or [()] * (4 if digests else 2)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string()) if digests else (pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digests else ["kept", "removed"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*keep, *names])
+                left = kept.decode("utf-8", "ignore")
+                rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), left) if digests else (left, [{"a": a, "b": b} for a, b in spans]))
+            columns = list(zip(*rows, strict=True)) or [()] * (5 if digests else 2)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()) if digests else (pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"] if digests else ["kept", "removed"]
+            yield pa.RecordBatch.from_arrays([*(batch.column("__text" if c == "text" else c) for c in keep), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*keep, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    out = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digests else "kept string, removed array<struct<a:int,b:int>>"
-    return keyed.join(spans, ["__id", "__mark"], "left").mapInArrow(run, f"{kinds}, {out}")
+    out = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string" if digests else "kept string, removed array<struct<a:int,b:int>>"
+    return placed.join(spans, ["__id", "__mark"], "left").mapInArrow(run, f"{kinds}, {out}")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,8 +89,23 @@ def brute_repeats(texts, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("length", [60, 200, 400])
-def test_repeated_strings(spark, length):
+def test_strings_in_order():
+    """Strings that start with the same bytes stand together, and the suffix array is what puts them there."""
+    r = random.Random(5)
+    for _ in range(30):
+        stems = [words(r, r.randint(1, 40)).encode() for _ in range(3)]
+        strings = [s[: r.randint(0, len(s))] + words(r, r.randint(1, 20)).encode() for s in stems for _ in range(8)] + [b"", b"a" * 90, b"a" * 200]
+        order = suffix_dedup.ordered(strings).tolist()
+        assert sorted(order) == list(range(len(strings)))
+        for k in range(len(strings)):
+            for n in range(0, len(strings[k]) + 1, 7):
+                places = [i for i, j in enumerate(order) if strings[j][:n] == strings[k][:n] and len(strings[j]) >= n]
+                assert places == list(range(places[0], places[-1] + 1))
+
+
+@pytest.mark.parametrize(("length", "many"), [(60, 2048), (200, 2048), (400, 2048), (60, 2), (200, 3)])
+def test_repeated_strings(spark, length, many, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
     r = random.Random(length)
     base = [words(r, r.randint(1, 250)) for _ in range(8)]
     texts = [*base, None, "", "x" * 1500, "y" * (length - 1), "z" * length, "ab" * 700, "abc" * 300 + "q" + "abc" * 300, "no cuts" + "é" * 900]
@@ -102,8 +117,9 @@ def test_repeated_strings(spark, length):
             texts.append(" ".join(w))
     texts += [base[0], base[1] + base[2], base[3][50:] + base[4][:600]]
     frame = spark.createDataFrame([(i if i % 7 else None, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, spans int")
-    got = sorted(tuple(x)[1:] for x in suffix_dedup.split_repeats(frame.repartition(5), length, digests=True).collect())
-    assert got == brute_repeats(texts, length)
+    rows = suffix_dedup.split_repeats(frame.repartition(5), length, digests=True).collect()
+    assert sorted(tuple(x)[1:5] for x in rows) == brute_repeats(texts, length)
+    assert all(hashlib.sha256(x.text.encode()).hexdigest() == x.kept_sha256 or "é" in x.text for x in rows if x.n_spans == 0)
     assert suffix_dedup.split_repeats(frame.limit(0), length).count() == 0
 
 
