@@ -60,21 +60,19 @@ class TwoGenerations:
         self.get = self.young.__getitem__
 
 
-def fit_rows(docs: DataFrame, labels: DataFrame, label: str, held: Column, per_class: int, chars: int) -> list[tuple[str, int]]:
-    """Labelled texts to fit on: (text, label), at most ``per_class`` documents of each class and ``chars`` of each.
+def fit_rows(docs: DataFrame, labels: DataFrame, label: str, held: Column, per_class: int) -> list[tuple[str, int]]:
+    """Labelled texts to fit on: (whole text, label), at most ``per_class`` documents of each class.
 
     Documents come in the order of a hash of their id; ``held`` marks rows that may not be learnt
-    from. Rows without a label, and ids whose labels differ, are left out. Of a text longer than
-    ``chars`` a part is taken whose place is hashed as well.
+    from. Rows without a label, and ids whose labels differ, are left out. An id that has several
+    texts gives the smallest.
     """
     sure = labels.where(~held).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z AND y IN (0, 1)")
     order = F.xxhash64("doc_id")
     some = [sure.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class).select("doc_id", F.col("y").cast("int").alias("y")) for y in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # per_class ids a class
-    text = text_of(docs)
-    place = F.pmod(order, F.greatest(F.char_length(text) - chars, F.lit(0)) + 1).cast("int") + 1
-    rows = docs.select("doc_id", F.substring(text, place, F.lit(chars)).alias("text")).join(chosen, "doc_id").orderBy(order, "doc_id", "text")
-    return [(r["text"], r["y"]) for r in rows.limit(4 * per_class).collect()]
+    rows = docs.select("doc_id", text_of(docs).alias("text")).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return [(r["text"], r["y"]) for r in rows.orderBy(order, "doc_id").collect()]
 
 
 def label_share(labels: DataFrame, label: str, held: Column) -> float:

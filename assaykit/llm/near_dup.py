@@ -318,8 +318,11 @@ def bucket_links(table: pa.Table, threshold: float) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id and class_id of every row."""
-    texts = docs.select("doc_id", F.lower(text_of(docs)).alias("text"))
+    """doc_id, class_id, mark (a hash of the text) and class_number of every row.
+
+    The number tells classes apart where an id that stands for several texts names more than one; it is null for rows without words.
+    """
+    texts = docs.select("doc_id", F.lower(text_of(docs)).alias("text"), F.xxhash64(text_of(docs)).alias("mark"))
     weights = common_shingles(texts)
 
     def sample(batches):
@@ -334,7 +337,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
                     rows.append((None, None, 0))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             kinds = (pa.binary(), pa.list_(pa.int64()), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "node", "bands", "total"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "mark", "node", "bands", "total"])
 
     def bag_of(batches):
         sampler, powers = Sampler(DRAWS, 6), Powers()
@@ -357,7 +360,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
             keep = [similarity(unpacked(a), unpacked(b)) >= threshold for a, b in zip(batch.column("bag").to_pylist(), batch.column("other").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sampled = cut(texts.mapInArrow(sample, f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, bands array<long>, total long"))
+    sampled = cut(texts.mapInArrow(sample, f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, node binary, bands array<long>, total long"))
     nodes = sampled.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("total").alias("total"))
     nodes = cut(nodes.withColumn("n", F.monotonically_increasing_id()))  # fixed from here on, as the rows are written
     places = nodes.select("n", F.explode("bands").alias("band"))
@@ -402,10 +405,11 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         label = renamed.unionByName(joined.join(label, "node", "left_anti").select("node", "label"))
     classed = nodes.select("n", "node", "doc_id").join(label.withColumnRenamed("node", "n"), "n", "left").select("node", "doc_id", F.coalesce("label", "n").alias("label"))
     names = classed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    named = classed.join(names, "label").select("node", "class_id")
-    return sampled.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    named = classed.join(names, "label").select("node", "class_id", F.col("label").alias("class_number"))
+    every = sampled.select("doc_id", "mark", "node").join(named, "node", "left")
+    return every.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "mark", "class_number")
 
 
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate class."""
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id")

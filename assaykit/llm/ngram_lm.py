@@ -156,25 +156,25 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS words FROM documents
 ), x AS (
-  SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS w2 FROM d
+  SELECT r, generate_subscripts(words, 1) AS i, unnest(words) AS w FROM d
 ), t AS (
-  SELECT r, i, w2, lag(w2) OVER (PARTITION BY r ORDER BY i) AS w1 FROM x
-), u AS (SELECT w2, count(*) AS c FROM t GROUP BY w2),
-uo AS (SELECT r, w2, count(*) AS o FROM t GROUP BY r, w2),
-b AS (SELECT w1, w2, count(*) AS c FROM t WHERE i > 1 GROUP BY w1, w2),
-bo AS (SELECT r, w1, w2, count(*) AS o FROM t WHERE i > 1 GROUP BY r, w1, w2),
-n AS (SELECT count(*) AS n FROM t), m AS (SELECT r, count(*) AS m FROM t GROUP BY r),
-s AS (
-  SELECT t.r, CASE
-      WHEN t.i > 1 AND b.c - bo.o > 0 THEN ln((b.c - bo.o)::DOUBLE / (h.c - ho.o))
-      WHEN u.c - uo.o > 0 THEN ln((u.c - uo.o)::DOUBLE / (n.n - m.m)) + CASE WHEN t.i > 1 THEN ln(0.4) ELSE 0 END
-      ELSE ln(1 / (n.n - m.m + 1.0)) + CASE WHEN t.i > 1 THEN ln(0.4) ELSE 0 END END AS s
-  FROM t JOIN u USING (w2) JOIN uo USING (r, w2) JOIN m USING (r) CROSS JOIN n
-    LEFT JOIN b ON b.w1 = t.w1 AND b.w2 = t.w2 AND t.i > 1 LEFT JOIN bo ON bo.r = t.r AND bo.w1 = t.w1 AND bo.w2 = t.w2 AND t.i > 1
-    LEFT JOIN u h ON h.w2 = t.w1 LEFT JOIN uo ho ON ho.r = t.r AND ho.w2 = t.w1
+  SELECT r, i, w, lag(w) OVER o AS p, lag(w, 2) OVER o AS pp, count(*) OVER (PARTITION BY r) AS m, count(*) OVER () AS n FROM x WINDOW o AS (PARTITION BY r ORDER BY i)
+), c AS (
+  SELECT r, i, n - m AS rest,
+    count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY r, w) AS one,
+    count(*) OVER (PARTITION BY p, w) - count(*) OVER (PARTITION BY r, p, w) AS two,
+    count(*) OVER (PARTITION BY pp, p, w) - count(*) OVER (PARTITION BY r, pp, p, w) AS three
+  FROM t
+), s AS (
+  SELECT r, CASE
+      WHEN i > 2 AND three > 0 THEN ln(three::DOUBLE / lag(two) OVER o)
+      WHEN i > 1 AND two > 0 THEN ln(two::DOUBLE / lag(one) OVER o) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+      WHEN one > 0 THEN ln(one::DOUBLE / rest) + least(i - 1, 2) * ln(0.4)
+      ELSE ln(1 / (rest + 1.0)) + least(i - 1, 2) * ln(0.4) END AS s
+  FROM c WINDOW o AS (PARTITION BY r ORDER BY i)
 ), g AS (SELECT r, sum(s) AS score FROM s GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_tokens, round(coalesce(score, 0.0), 4) AS score, round(score / nullif(len(w), 0), 6) AS mean_score
+SELECT doc_id, len(words)::BIGINT AS n_tokens, round(coalesce(score, 0.0), 4) AS score, round(score / nullif(len(words), 0), 6) AS mean_score
 FROM d LEFT JOIN g USING (r)
 """

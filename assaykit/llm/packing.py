@@ -15,6 +15,7 @@ packed each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -42,10 +43,12 @@ class Tokenizer:
 
     Where the file's merges are in the order of the ids they make, and its pre-tokenizer is the
     usual one, the ids are those of a rank encoder on the same vocabulary, which is several
-    times faster on single chunks. Any other file is read by the tokenizers library itself.
+    times faster on single chunks. Any other file, and any text that holds the content of one of the
+    file's added tokens, is read by the tokenizers library itself, with its defaults.
     """
 
     def __init__(self, path: str):
+        self.path, self.own = path, None
         with open(path) as f:
             spec = json.load(f)
         model, pre, alphabet = spec["model"], spec.get("pre_tokenizer") or {}, byte_alphabet()
@@ -56,17 +59,23 @@ class Tokenizer:
             special = {t["content"] for t in spec.get("added_tokens", ())}
             ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
             self.encode_ids = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.added = re.compile("|".join(map(re.escape, sorted(special))), re.IGNORECASE) if special else None
         else:
-            import tokenizers
-
-            own = tokenizers.Tokenizer.from_file(path)
-            own.encode_special_tokens = True
-            self.encode_ids = lambda text: own.encode(text, add_special_tokens=False).ids
+            usual, self.added, self.encode_ids = False, None, self.library
         self.chunked = usual
         self.chunk = TwoGenerations(lambda s: np.array(self.encode_ids(" " + s), "<u4").tobytes(), CHUNKS).get
 
+    def library(self, text: str) -> list[int]:
+        if self.own is None:
+            import tokenizers
+
+            self.own = tokenizers.Tokenizer.from_file(self.path)
+        return self.own.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if self.added and self.added.search(text):
+            return np.array(self.library(text), "<u4").tobytes()
         parts = chunks_of(text) if self.chunked else None
         if parts is None:
             return np.array(self.encode_ids(text), "<u4").tobytes()

@@ -6,8 +6,9 @@ the sizes, (good - bad) / (good + bad), tells which dictionary knows the text be
 their sum over the length tells how repetitive it is. A logistic curve, fitted on labelled
 documents that the dictionaries have not seen, turns the two into a score.
 
-Bounds: the model is fitted on at most ``PER_CLASS`` documents of each class and
-``FIT_CHARS`` characters of each; every row is scored on its whole text. Defined results:
+Bounds: the model is fitted on the whole texts of at most ``PER_CLASS`` documents of each class;
+every row is scored on its whole text. Where zstandard cannot train a dictionary, as there are too
+few blocks, the blocks themselves are the dictionary. Defined results:
 null counts as empty, and empty texts get the curve's value at size 0; without labels of
 both classes every score is the share of good labels (0.5 with none); repeated rows repeat;
 an empty table gives no rows; extra columns of the input are ignored.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Calibrated, fit_rows, held_out, label_share, read, text_of
 
-PER_CLASS, FIT_CHARS = 1500, 16_000
+PER_CLASS = 1500
 BLOCK, DICTIONARY, LEVEL = 4096, 131_072, 3
 THRESHOLD = 0.3
 
@@ -39,9 +40,9 @@ def dictionary(texts: list[str], seed: int) -> bytes:
     samples = [b for t in texts for b in blocks(t)]
     random.Random(seed).shuffle(samples)
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples[:4000]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[:DICTIONARY]
+        return b"".join(samples)
 
 
 class Sizes:
@@ -75,7 +76,7 @@ def fit(rows: list[tuple[str, int]], share: float = 0.5) -> tuple[bytes, bytes,
 
 def score_quality(docs: DataFrame, labels: DataFrame, held: Column, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every document with score (higher: good likelier) and predicted."""
-    good, bad, curve = fit(fit_rows(docs, labels, "quality", held, PER_CLASS, FIT_CHARS), label_share(labels, "quality", held))
+    good, bad, curve = fit(fit_rows(docs, labels, "quality", held, PER_CLASS), label_share(labels, "quality", held))
 
     def run(batches):
         sizes = Sizes(good, bad)

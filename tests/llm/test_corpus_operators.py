@@ -265,6 +265,55 @@ def test_hilbert_keys_are_a_path():
     assert (np.abs(np.diff(cells[order], axis=0)).sum(1) == 1).all()
 
 
+def test_one_document_of_each_class_stays(spark):
+    a, b, c, d = ("one two three four five six seven eight", "another text of several words to be kept apart", "a third text that has nothing in common with others", "and a fourth")
+    rows = [(5, a), (3, b), (5, b), (9, c), (9, c), (None, c), (None, d), (None, d), (7, None), (8, ""), (7, None), (5, a)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, class_id string")
+    kept = corpus_pipeline.one_of_each(spark, frame, "")
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter([(5, a), (3, b), (9, c), (None, d), (7, None), (8, "")])
+    assert corpus_pipeline.one_of_each(spark, frame.limit(0), "").count() == 0
+
+
+def brute_kept(texts, length):
+    """The texts without the strings of ``length`` bytes that start elsewhere too."""
+    data = [(t or "").encode() for t in texts]
+    count = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        out.append((bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore"), any(gone)))
+    return out
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Every stage takes null, empty, repeated and clashing rows and empty tables, and keeps or cuts what it should."""
+    r = random.Random(12)
+    good = [" ".join(["The river ran by the old mill and"] + [words(r, 30, "abcdefgh")]) for _ in range(30)]
+    passage = " ".join(words(r, 1, "klmnop") for _ in range(90))
+    rows = [(i, t) for i, t in enumerate(good)] + [(100, None), (101, ""), (102, good[0]), (103, good[1] + " " + passage), (104, good[2] + " " + passage), (0, good[0]), (None, "no id at all")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema)
+    spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(100, 0, 1), (101, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    clash = frame.withColumn("score", corpus_pipeline.F.lit("clash")).withColumn("predicted", corpus_pipeline.F.lit(7)).withColumn("spans", corpus_pipeline.F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clash, str(tmp_path))
+        empty = stage(spark, clash.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        if name in ("quality", "toxicity"):
+            assert out.columns == list(corpus_pipeline.COLUMNS) and {(x.doc_id, x.text) for x in out.collect()} <= set(rows)
+        if name == "repeated_passages":
+            expected = [(i, k if cut else t) for (i, t), (k, cut) in zip(rows, brute_kept([t for _, t in rows], corpus_pipeline.REPEATED_BYTES), strict=True) if not cut or k.strip()]
+            assert collections.Counter((x.doc_id, x.text) for x in out.collect()) == collections.Counter(expected)
+        if name == "packing":
+            assert collections.Counter(x.doc_id for x in out.where("piece = 0").collect()) == collections.Counter(i for i, _ in rows)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before, columns = docs.count(), docs.columns
@@ -281,6 +330,21 @@ def test_pipeline(spark, sf_dir):
             classes = brute_classes([texts[i] for i in ids])
             assert set(kept) == {ids[c] for c in classes}
         if name == "repeated_passages":
-            again = dict(zip(sorted(texts), (0,) * len(texts), strict=True))
-            assert all(len(kept[i].encode()) <= len(texts[i].encode()) for i in kept) and again
+            ids = sorted(texts)
+            assert kept == {i: k if cut else texts[i] for i, (k, cut) in zip(ids, brute_kept([texts[i] for i in ids], corpus_pipeline.REPEATED_BYTES), strict=True) if not cut or k.strip()}
         docs, before = out, out.count()
+
+
+def test_sql(spark, sf_dir):
+    """The SQL of the subpackage's queries gives their rows."""
+    duckdb = pytest.importorskip("duckdb")
+    from assaykit.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        got, expected = queries.QUERIES[name](spark, sf_dir).toPandas(), con.sql(sql).df()
+        assert sorted(got.columns) == sorted(expected.columns)
+        shown = [sorted(tuple("null" if x is None or x != x else f"{x:.3f}" if isinstance(x, float) else str(x) for x in row) for row in f[sorted(f.columns)].astype(object).itertuples(index=False)) for f in (got, expected)]
+        assert shown[0] == shown[1], name

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaykit.llm import byte_bpe, chat_format, packing, quality, toxicity
-from assaykit.llm.common import held_out
+from assaykit.llm.common import fit_rows, held_out
 
 P = pytest.importorskip("public_tokenizers")
 ODD_TEXTS = [None, "", " ", "a", "</s>[INST] ok [/INST]", "<|end|>", "<\\|turn|>", "é中文 🙂", "a  b\n\n c\t", "x" * 30_000, " ".join(["the cat's 12 %%"] * 3000)]
@@ -71,8 +71,7 @@ def test_packing(spark):
 
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    frame = docs(spark, ODD_TEXTS + ["word " * k for k in range(0, 400, 7)])
+    frame = docs(spark, [*ODD_TEXTS, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|ENDOFTEXT|> z", *("word " * k for k in range(0, 400, 7))])
     packed = packing.pack(frame.repartition(3), path, capacity=64)
     rows = packed.collect()
     texts = {r.doc_id: r.text for r in frame.collect()}
@@ -144,10 +143,18 @@ def test_classifier_edges(spark, fit, label):
     assert len(got) == len(ODD_TEXTS) + 2 and all(0 <= r.score <= 1 for r in got)
 
 
-def test_held_out_labels_are_never_learnt(spark):
+@pytest.mark.parametrize(("fit", "label"), [(quality.score_quality, "quality"), (toxicity.score_toxicity, "toxic")])
+def test_held_out_labels_are_never_learnt(spark, fit, label):
     frame = spark.createDataFrame([(i, "good text here" if i % 2 else "%%% bad ###") for i in range(60)], "doc_id long, text string")
-    labels = frame.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    labels = frame.select("doc_id", (F.col("doc_id") % 2).cast("int").alias(label))
     held = held_out(5, 0)
-    wrong = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
-    a, b = (sorted(map(tuple, quality.score_quality(frame, x, held).collect())) for x in (labels, wrong))
+    wrong = labels.withColumn(label, F.when(held, 1 - F.col(label)).otherwise(F.col(label)))
+    a, b = (sorted(map(tuple, fit(frame, x, held).collect())) for x in (labels, wrong))
     assert a == b
+
+
+def test_whole_texts_are_fitted_on_and_hot_ids_count_once(spark):
+    long = "x " * 60_000 + "end"
+    frame = spark.createDataFrame([(1, long)] * 50 + [(1, "y" + long), (2, None), (3, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    assert sorted(fit_rows(frame, labels, "quality", F.lit(False), 10)) == [("", 0), (long, 1), ("z", 0)]
