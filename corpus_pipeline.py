@@ -31,15 +31,17 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id in each near-duplicate class; of repeated rows one; rows without an id all stay."""
+    """One row of each near-duplicate class: that of the smallest doc_id (rows without one come last), then text hash.
+
+    Documents without words are classes of their own; of rows with equal ids and texts one stays.
+    """
     classes = near_dup.near_duplicates(docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id")
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if repeated.isEmpty():
-        return kept
-    named = kept.where("doc_id IS NOT NULL").withColumn("mark", F.xxhash64("text")).dropDuplicates(["doc_id", "mark"]).drop("mark")
-    return named.unionByName(kept.where("doc_id IS NULL"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))
+    first = classes.where("class_number IS NOT NULL").groupBy("class_number").agg(F.min(order).alias("f")).select("f.*")
+    alone = classes.where("class_number IS NULL").select(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    stay = first.unionByName(alone).select("none", F.coalesce("doc_id", F.lit(0)).alias("id"), "mark").distinct()
+    rows = docs.select(*COLUMNS, F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    return rows.join(stay, ["none", "id", "mark"], "left_semi").dropDuplicates(["none", "id", "mark"]).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
