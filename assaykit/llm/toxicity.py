@@ -55,6 +55,12 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket[order], np.bincount(owner, minlength=len(words))
 
 
+def all_subwords(words: list[str], most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """``subwords`` of many words, held in two bytes each."""
+    parts = [subwords(words[i : i + most]) for i in range(0, len(words), most)]
+    return np.concatenate([np.empty(0, np.uint16), *(b.astype(np.uint16) for b, _ in parts)]), np.concatenate([np.empty(0, np.int64), *(n for _, n in parts)])
+
+
 def windows(text: str) -> list[list[str]]:
     """The different words of each run of WINDOW words."""
     words = text.split()
@@ -67,7 +73,7 @@ def train(texts: list[tuple[str, int]], seed: int = 7) -> tuple[np.ndarray, floa
     bags, y = [], []
     for text, label in texts:
         for words in windows(text):
-            bags.append(np.array([vocab.setdefault(w, len(vocab)) for w in words]))
+            bags.append(np.array([vocab.setdefault(w, len(vocab)) for w in words], np.int32))
             y.append(label)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -76,7 +82,8 @@ def train(texts: list[tuple[str, int]], seed: int = 7) -> tuple[np.ndarray, floa
         return np.zeros(BUCKETS), 0.0
     y = np.array(y)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
-    bucket, count = subwords(list(vocab))
+    bucket, count = all_subwords(list(vocab))
+    del vocab
     start = np.cumsum(count) - count
     sq_v, sq_s, sq_b = np.full(BUCKETS, 1e-8, np.float32), np.full_like(softmax, 1e-8), np.full(2, 1e-8, np.float32)
     for _ in range(EPOCHS):
@@ -120,7 +127,7 @@ class Reader:
         if len(self.memo) + len(words) > MEMO:
             self.memo.clear()
         new = list(words)
-        bucket, count = subwords(new)
+        bucket, count = all_subwords(new)
         total = np.bincount(np.repeat(np.arange(len(new)), count), self.number[bucket], minlength=len(new))
         self.memo.update(zip(new, (total / np.maximum(count, 1)).tolist(), strict=True))
 
