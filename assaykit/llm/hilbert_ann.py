@@ -6,10 +6,16 @@ ranges of its key of about equal size. A query is compared with its own range an
 beside it, on every curve; all curves' finds merge, are ranked by the exact distance on the
 original vectors and cut to the nearest.
 
+How many ranges there are follows from the data: on a bounded sample, the distance along the
+curves between queries and their true neighbours is measured at two sizes, and the trend is
+carried on to the number of rows. Where the projections keep neighbours together, ranges are
+short and grow little with the rows; where they do not, as for vectors alike in all
+directions, ranges stay a share of the table, and the work is near that of comparing everything.
+
 Equal vectors are one point of the curves: a point keeps its k + 1 smallest ids, which is
 all that any query can be given of it, so large groups of copies neither crowd a range nor
-meet in one task. Ranges are divided further where they are large, and queries are copied to
-each division, so a task's rows are bounded.
+meet in one task. Large ranges are divided by rows and by queries, and each division of queries
+meets each of rows, so a task's rows and queries are bounded.
 
 The projections' scale is fitted on at most ``FIT_ROWS`` rows; every row is indexed. Defined
 results: vectors null, all zero or with null or non-finite components take no part, nor do
@@ -28,7 +34,8 @@ from .common import read
 from .vectors import matrix, same_width, usable
 
 CURVES, DIMS, BITS, SPREAD = 20, 8, 7, 4.0
-RANGES, DIVISION, FIT_ROWS = 40, 16_384, 4096
+DIVISION, QUERIES, FIT_ROWS = 16_384, 4096, 4096
+FOUND = 0.97  #: share of the sample's true neighbours that the ranges are to reach
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -85,6 +92,30 @@ class Curves:
         return out
 
 
+def reach(sample: np.ndarray, curves: Curves, k: int) -> float:
+    """The share of the sample that lies between a query and its true neighbours on the best curve, for ``FOUND`` of them."""
+    n, asked = len(sample), min(len(sample), 256)
+    place = np.argsort(np.argsort(curves.keys(sample), axis=0, kind="stable"), axis=0)
+    square = (sample * sample).sum(1)
+    gaps = []
+    for q in range(asked):
+        far = square - 2 * (sample @ sample[q])
+        far[q] = np.inf
+        near = np.argpartition(far, min(k, n - 1) - 1)[:k] if n > 1 else np.empty(0, int)
+        gaps.append(np.abs(place[near] - place[q]).min(1) / n)
+    return float(np.quantile(np.concatenate(gaps), FOUND)) if gaps and n > 1 else 1.0
+
+
+def ranges_for(sample: np.ndarray, curves: Curves, k: int, rows: int) -> int:
+    """How many ranges to cut a curve of so many rows into."""
+    whole = reach(sample, curves, k)
+    if rows > len(sample) >= 256:
+        part = reach(sample[: len(sample) // 4], curves, k)
+        falls = min(1.0, max(0.0, float(np.log(max(part, 1e-9) / max(whole, 1e-9)) / np.log(4))))
+        whole *= (len(sample) / rows) ** falls
+    return max(1, min(int(1 / max(whole, 1e-9)), rows // (4 * (k + 1))))
+
+
 def points(rows: DataFrame, keep: int) -> DataFrame:
     """Rows (vec_id, x) to different vectors: x, ids (the ``keep`` smallest); combined in each partition before the shuffle."""
 
@@ -115,9 +146,10 @@ def nearest_in(queries: np.ndarray, rows: np.ndarray, ids: list[list[int]], k: i
     for a in range(0, len(queries), 256):
         part = queries[a : a + 256]
         rough = square[None, :] - 2 * (part @ rows.T)
-        some = min(len(rows), 4 * k)
-        near = np.argpartition(rough, some - 1, axis=1)[:, :some]
-        for q, at in zip(part, near, strict=True):
+        some = min(len(rows), k)
+        limit = np.partition(rough, some - 1, axis=1)[:, some - 1]
+        slack = 1e-9 * (1 + square.max() + (part * part).sum(1))  # more than rounding can do, so ties are all worked out
+        for q, at in zip(part, (np.flatnonzero(r <= a) for r, a in zip(rough, limit + slack, strict=True)), strict=True):
             exact = np.sqrt(((rows[at] - q) ** 2).sum(1))
             every = sorted((float(d), i) for d, j in zip(exact, at, strict=True) for i in ids[j])
             out.append(every[:k])
@@ -129,7 +161,8 @@ def nearest(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector: s
     sound = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
     sound = sound.where(F.col("vec_id").isNotNull() & usable("x", zero_too=False))
     sample = sound.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("x").toArrow()
-    curves = Curves(matrix(sample.column("x")))
+    fitted = matrix(sample.column("x"))
+    curves = Curves(fitted)
 
     def place(batches):
         for batch in batches:
@@ -138,10 +171,12 @@ def nearest(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector: s
 
     every = points(sound, k + 1).mapInArrow(place, "x array<double>, ids array<long>, keys array<long>")
     asked = points(sound.where(is_query(F.col("vec_id"))), 1).mapInArrow(place, "x array<double>, ids array<long>, keys array<long>")
-    shares = [i / RANGES for i in range(1, RANGES)]
+    size = sound.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query(F.col("vec_id")), 1)).alias("q")).first()
+    ranges = ranges_for(fitted, curves, k, size["n"])
+    shares = [i / ranges for i in range(1, ranges)] or [1.0]
     cuts = every.select([F.percentile_approx(F.col("keys")[c], shares, 10_000).alias(f"c{c}") for c in range(CURVES)] + [F.count(F.lit(1)).alias("n")]).first()
     bounds = [np.array(cuts[c] or [], np.int64) for c in range(CURVES)]
-    divisions = max(1, -(-cuts["n"] // (RANGES * DIVISION)))
+    divisions, parts = max(1, -(-cuts["n"] // (ranges * DIVISION))), max(1, -(-3 * size["q"] // (ranges * QUERIES)))
 
     def dealt(queries: bool):
         def run(batches):
@@ -154,16 +189,16 @@ def nearest(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector: s
                 for c in range(CURVES):
                     part = np.searchsorted(bounds[c], keys[:, c], side="right")
                     for step in (-1, 0, 1) if queries else (0,):
-                        for d in range(divisions) if queries else (None,):
-                            division = np.full(n, d) if queries else rep % divisions
+                        for other in range(divisions if queries else parts):
+                            both = (np.full(n, other), rep % parts) if queries else (rep % divisions, np.full(n, other))
                             kept = pa.array((part + step >= 0) & (part + step <= len(bounds[c])))
-                            columns = [np.full(n, c), part + step, division]
+                            columns = [np.full(n, c), part + step, *both]
                             made = [pa.array(v.astype(np.int32)) for v in columns] + [pa.array(rep), batch.column("x"), batch.column("ids")]
-                            yield pa.RecordBatch.from_arrays(made, ["curve", "part", "division", "rep", "x", "own"]).filter(kept)
+                            yield pa.RecordBatch.from_arrays(made, ["curve", "part", "division", "asked", "rep", "x", "own"]).filter(kept)
 
         return run
 
-    kinds = "curve int, part int, division int, rep long, x array<double>, own array<long>"
+    kinds = "curve int, part int, division int, asked int, rep long, x array<double>, own array<long>"
     left, right = asked.mapInArrow(dealt(True), kinds), every.mapInArrow(dealt(False), kinds)
 
     def meet(key, a: pa.Table, b: pa.Table) -> pa.Table:
@@ -172,7 +207,7 @@ def nearest(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector: s
         columns = list(zip(*rows_, strict=True)) or [(), (), ()]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["rep", "vec_id", "score"])
 
-    by = ("curve", "part", "division")
+    by = ("curve", "part", "division", "asked")
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, "rep long, vec_id long, score double").distinct()
     order = F.struct("score", "vec_id")
     top = found.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k + 1).alias("top"))  # k + 1 rows a range and division at most

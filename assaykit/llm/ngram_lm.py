@@ -6,7 +6,8 @@ that its hash belongs to; the parts add up the blocks' counts and answer each bl
 order it asked; the block joins the answers to its documents' n-grams and sums per document.
 So an n-gram crosses the network once a block, however often it occurs, and a frequent one
 is a single number in each block. Blocks and parts have a bounded size and their number
-grows with the corpus. Keys travel sorted, their upper bits as steps, and numbers as byte planes.
+grows with the corpus. Keys travel sorted, their upper bits as steps, cut to the bytes that keep a
+clash of two n-grams under one in a million, and numbers as byte planes.
 
 A document is scored by the rest of the corpus: its own occurrences are taken from every
 count. For a token with history, the longest n-gram that still occurs elsewhere gives
@@ -36,7 +37,7 @@ BLOCK_CHARS, PART_CHARS = 8_000_000, 8_000_000
 class Exploded:
     """The n-grams of a block's documents, order by order."""
 
-    def __init__(self, texts: list[str], max_order: int):
+    def __init__(self, texts: list[str], max_order: int, width: int = 8):
         word, self.sizes = word_hashes(texts, Powers())
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         place = np.arange(len(word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
@@ -49,7 +50,8 @@ class Exploded:
             self.at.append(np.flatnonzero(place >= order - 1))
             grams.append(gram[self.at[-1]])
         self.ends = np.cumsum([0, *map(len, grams)])
-        self.keys = np.concatenate(grams)
+        spare = np.uint64(64 - 8 * width)
+        self.keys = np.concatenate(grams) >> spare << spare
 
     def own(self) -> np.ndarray:
         """How often each n-gram occurs in its own document."""
@@ -77,16 +79,21 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys: five lower bytes of each as they are, then the steps of the three upper ones."""
+def key_bytes(grams: int) -> int:
+    """Upper bytes of a 64-bit hash that keep the chance of a clash under one in a million for each of so many n-grams."""
+    return next((b for b in (6, 7) if grams * 1e6 < 1 << 8 * b), 8)
+
+
+def pack_keys(keys: np.ndarray, width: int = 8) -> bytes:
+    """Ascending keys of so many upper bytes: all but three as they are, then the steps of the three upper ones."""
     steps = np.diff(keys >> np.uint64(40), prepend=np.uint64(0))
-    return np.ascontiguousarray(keys.astype("<u8").view("u1").reshape(-1, 8)[:, :5]).tobytes() + pack(steps.astype("<u4"))
+    return np.ascontiguousarray(keys.astype("<u8").view("u1").reshape(-1, 8)[:, 8 - width : 5]).tobytes() + pack(steps.astype("<u4"))
 
 
-def unpack_keys(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), "u1")
-    out[:, :5] = np.frombuffer(data, "u1", 5 * n).reshape(n, 5)
-    return out.view("<u8").ravel() | np.cumsum(unpack(data[5 * n :], "<u4").astype(np.uint64)) << np.uint64(40)
+def unpack_keys(data: bytes, n: int, width: int = 8) -> np.ndarray:
+    out, some = np.zeros((n, 8), "u1"), width - 3
+    out[:, 8 - width : 5] = np.frombuffer(data, "u1", some * n).reshape(n, some)
+    return out.view("<u8").ravel() | np.cumsum(unpack(data[some * n :], "<u4").astype(np.uint64)) << np.uint64(40)
 
 
 def score_documents(docs: DataFrame, max_order: int = MAX_ORDER, backoff: float = BACKOFF) -> DataFrame:
@@ -94,19 +101,20 @@ def score_documents(docs: DataFrame, max_order: int = MAX_ORDER, backoff: float
     source = docs.select("doc_id", F.lower(text_of(docs)).alias("text"))
     size = source.agg(F.coalesce(F.sum(F.char_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
     blocks, parts = max(1, math.ceil(size / BLOCK_CHARS)), max(1, math.ceil(size / PART_CHARS))
+    width = key_bytes(max_order * size // 2)  # a word takes two characters at least
     dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition("block")
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = key[0].as_py()
-        keys, count = np.unique(Exploded(table.column("text").to_pylist(), max_order).keys, return_counts=True)
-        rows = [(p, block, pack_keys(keys[a:b]), pack(count[a:b].astype("<u4"))) for p, a, b in slices(keys, parts)]
+        keys, count = np.unique(Exploded(table.column("text").to_pylist(), max_order, width).keys, return_counts=True)
+        rows = [(p, block, pack_keys(keys[a:b], width), pack(count[a:b].astype("<u4"))) for p, a, b in slices(keys, parts)]
         columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "block", "keys", "counts"])
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         counts = [unpack(c, "<u4") for c in table.column("counts").to_pylist()]
-        keys = [unpack_keys(k, len(c)) for k, c in zip(table.column("keys").to_pylist(), counts, strict=True)]
+        keys = [unpack_keys(k, len(c), width) for k, c in zip(table.column("keys").to_pylist(), counts, strict=True)]
         count = np.concatenate(counts)
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, count).astype("<i8")[place]
@@ -115,7 +123,7 @@ def score_documents(docs: DataFrame, max_order: int = MAX_ORDER, backoff: float
         return pa.table([table.column("block"), table.column("part"), pa.array(found, pa.binary())], names=["block", "part", "totals"])
 
     def join(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = Exploded(table.column("text").to_pylist(), max_order)
+        grams = Exploded(table.column("text").to_pylist(), max_order, width)
         order = np.argsort(np.asarray(answers.column("part")), kind="stable")
         texts = answers.column("totals").to_pylist()
         total = np.concatenate([np.empty(0, "<i8"), *(unpack(texts[i], "<i8") for i in order)])

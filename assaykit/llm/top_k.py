@@ -6,9 +6,10 @@ component is positive, smallest first where it is negative), all to the same dep
 that was read in some lists has a lower bound (what was read, plus the worst that unread
 lists can hold) and an upper bound (what was read, plus the values at the reading depth in
 unread lists); a row read nowhere is bounded by those values alone. Reading goes on until
-no outsider can qualify for the k best; the rows still in doubt are then read to their end.
-Bounds of many queries are worked out together as matrix products. Blocks' winners merge
-by query. Query blocks meet row blocks, so neither a driver nor a task holds a whole table.
+no outsider can qualify for the k best, twice as deep each time; the rows still in doubt are then
+read to their end. Bounds of many queries are worked out together as matrix products. Blocks'
+winners merge by query. Blocks of queries meet blocks of rows, so neither a driver nor a task holds
+all rows or all queries.
 
 Components are turned into whole numbers first, so sums are exact. Defined results: vectors
 null or with null or non-finite components take no part, nor do rows without an id; shorter
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import read
 from .vectors import best_per_query, matrix, same_width, usable
 
-BLOCK = 16_384
-DEPTHS = (1 / 4, 1 / 2, 1.0)
+BLOCK, QUERIES = 16_384, 2048  #: rows and queries that meet in a group
+FIRST = 1 / 8  #: share of the lists that is read first
 EXACT, LONG = 1 << 53, (1 << 63) - 1
 
 
@@ -66,10 +67,9 @@ def no_random_access(queries: np.ndarray, lists: Lists, query_ids: np.ndarray, k
     worst = parts @ np.hstack([lists.lists[-1], lists.lists[0]]) if n else None
     out: list[tuple[int, int, int]] = []
     active = np.arange(len(queries))
-    for share in DEPTHS:
-        if not len(active) or not n:
-            break
-        depth = min(n, max(k + 1, int(np.ceil(n * share))))
+    depth = max(k + 1, int(np.ceil(n * FIRST))) // 2
+    while len(active) and n:
+        depth = min(n, 2 * depth + 1)
         reach, over_reach, over_worst = lists.at(depth)
         lower = parts[active] @ over_worst.T + worst[active][:, None]
         upper = parts[active] @ over_reach.T + (parts[active] @ reach)[:, None]
@@ -104,10 +104,12 @@ def top_k(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector: str
     """Each query's k rows of the highest inner product of floor(factor * component): query_id, rank, vec_id, score."""
     sound = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
     sound = sound.where(F.col("vec_id").isNotNull() & usable("x", zero_too=True)).distinct()
-    total = sound.count()
-    blocks = max(1, -(-total // BLOCK))
-    placed = sound.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    wanted = sound.where(is_query(F.col("vec_id"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    size = sound.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query(F.col("vec_id")), 1)).alias("q")).first()
+    blocks, asked = max(1, -(-size["n"] // BLOCK)), max(1, -(-size["q"] // QUERIES))
+    deal = lambda parts: F.pmod(F.xxhash64("vec_id", "x"), F.lit(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    placed = sound.select("vec_id", "x", deal(blocks).alias("block"), each(asked).alias("part"))
+    wanted = sound.where(is_query(F.col("vec_id"))).select("vec_id", "x", deal(asked).alias("part"), each(blocks).alias("block"))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = same_width(*(np.floor(factor * matrix(t.column("x"))) for t in (left, right)))
@@ -117,7 +119,7 @@ def top_k(rows: DataFrame, is_query, k: int, id_col: str = "vec_id", vector: str
         columns = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
-    met = wanted.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(run, "query_id long, vec_id long, score long")
+    met = wanted.groupBy("block", "part").cogroup(placed.groupBy("block", "part")).applyInArrow(run, "query_id long, vec_id long, score long")
     return best_per_query(met, k, largest=True)
 
 

@@ -64,7 +64,10 @@ def test_lm_query_has_two_words_of_context(spark, tmp_path):
 def test_lm_keys_packed():
     keys = np.unique(np.random.default_rng(2).integers(0, 2**64, 5000, np.uint64, endpoint=False))
     for some in (keys, keys[:1], keys[-3:], np.array([0, 1, 2**64 - 1], np.uint64)):
-        assert ngram_lm.unpack_keys(ngram_lm.pack_keys(some), len(some)).tolist() == some.tolist()
+        for width in (6, 7, 8):
+            short = np.unique(some >> np.uint64(64 - 8 * width) << np.uint64(64 - 8 * width))
+            assert ngram_lm.unpack_keys(ngram_lm.pack_keys(short, width), len(short), width).tolist() == short.tolist()
+    assert [ngram_lm.key_bytes(n) for n in (10**8, 10**10, 10**12)] == [6, 7, 8]
     values = np.array([0, 1, 255, 256, 2**40, 2**62], "<i8")
     assert ngram_lm.unpack(ngram_lm.pack(values), "<i8").tolist() == values.tolist()
 
@@ -220,6 +223,7 @@ def vector_rows(spark, x):
 @pytest.mark.parametrize("kind", ["gauss", "ties", "large"])
 def test_top_k(spark, kind, monkeypatch):
     monkeypatch.setattr(top_k, "BLOCK", 150)
+    monkeypatch.setattr(top_k, "QUERIES", 3)
     rng = np.random.default_rng(2)
     x = {"gauss": rng.normal(0, 0.2, (400, 16)), "ties": rng.integers(-2, 3, (400, 3)) / 256, "large": rng.normal(0, 1e9, (120, 4))}[kind].astype(np.float32)
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k.top_k(vector_rows(spark, x), lambda i: i % 50 == 0, 5).collect())
@@ -238,7 +242,19 @@ def test_top_k_small(spark):
     assert top_k.top_k(rows.limit(0), lambda i: i % 50 == 0, 5).count() == 0
 
 
-def test_neighbours(spark):
+def test_ranges_follow_the_data():
+    """Vectors near a line need short ranges, the shorter the more rows; vectors alike in all directions long ones."""
+    rng = np.random.default_rng(3)
+    line = np.cumsum(np.full((1024, 8), 0.01), axis=0)[rng.permutation(1024)] + rng.normal(0, 1e-4, (1024, 8))
+    ball = rng.normal(size=(1024, 32))
+    counts = [[hilbert_ann.ranges_for(x, hilbert_ann.Curves(x), 5, n) for n in (1024, 100_000)] for x in (line, ball)]
+    assert counts[0][0] > 20 > counts[1][0] / 2 and counts[0][1] > 3 * counts[0][0]
+    rows = np.zeros((60, 2))
+    assert [i for _, i in hilbert_ann.nearest_in(np.zeros((1, 2)), rows, [[i] for i in range(59, -1, -1)], 5)[0]] == [0, 1, 2, 3, 4]
+
+
+def test_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_ann, "QUERIES", 2)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 32)).astype(np.float32)
     x[700:1000] = x[700]  # a large group of copies
