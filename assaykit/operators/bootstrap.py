@@ -49,10 +49,18 @@ def metrics_of(sums: np.ndarray, bins: int = CALIBRATION_BINS) -> np.ndarray:
         return np.column_stack([mae, e.sum(1) / total, kappa, f1, recall, ece])
 
 
-def draw_counts(groups: int, replicates: int, seed: int, batch: int = 256) -> np.ndarray:
-    """How often each group is drawn: multinomial draws, in batches of ``batch`` replicates."""
+def drawn(groups: int, replicates: int, seed: int, first: int, last: int, batch: int = 256):
+    """How often each group is drawn: one stream of multinomial draws in batches of ``batch`` replicates; yields (replicate, counts) of those that hold replicates ``first`` to ``last``."""
     rng, share = np.random.default_rng(seed), np.full(groups, 1 / groups)
-    return np.concatenate([rng.multinomial(groups, share, size=min(batch, replicates - k)) for k in range(0, replicates, batch)])
+    for k in range(0, min(replicates, last + 1), batch):
+        counts = rng.multinomial(groups, share, size=min(batch, replicates - k))
+        if k + len(counts) > first:
+            yield k, counts
+
+
+def draw_counts(groups: int, replicates: int, seed: int, batch: int = 256) -> np.ndarray:
+    """All replicates' counts."""
+    return np.concatenate([counts for _, counts in drawn(groups, replicates, seed, 0, replicates - 1, batch)])
 
 
 def paired_bootstrap(rows: DataFrame, group: str, scores: tuple[str, str], replicates: int = 10_000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
@@ -74,12 +82,13 @@ def paired_bootstrap(rows: DataFrame, group: str, scores: tuple[str, str], repli
         return spark.createDataFrame([], "metric string, candidate double, baseline double, delta double, low double, high double, n_valid long")
 
     def run(batches):
-        for batch in batches:
-            reps = np.asarray(batch.column("id"))
-            if not len(reps):
-                continue
-            draws = draw_counts(n, replicates, seed)[reps].astype(float)
-            a, b = (metrics_of(draws @ table[:, k * width : (k + 1) * width]) for k in (0, 1))
+        wanted = np.concatenate([np.empty(0, np.int64), *(np.asarray(batch.column("id")) for batch in batches)])
+        if not len(wanted):
+            return
+        for k, counts in drawn(n, replicates, seed, int(wanted.min()), int(wanted.max())):
+            reps = wanted[(wanted >= k) & (wanted < k + len(counts))]
+            draws = counts[reps - k].astype(float)
+            a, b = (metrics_of(draws @ table[:, i * width : (i + 1) * width]) for i in (0, 1))
             flat = [pa.array(np.repeat(reps, len(METRICS))), pa.array(list(METRICS) * len(reps)), pa.array(a.ravel()), pa.array(b.ravel())]
             yield pa.RecordBatch.from_arrays(flat, ["rep", "metric", "candidate", "baseline"])
 

