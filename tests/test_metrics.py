@@ -115,7 +115,13 @@ def test_power_law_weights_average_one(spark):
 
 
 def test_gates(spark):
-    rows = spark.createDataFrame([("balanced_mae", 1.0, 2.0, -1.0), ("mae", 3.0, 2.0, 1.0), ("qwk", 0.5, 0.5, None)], "metric string, candidate double, baseline double, delta double")
-    passed = {r.metric: r.passed for r in gates.gates(rows).collect()}
-    assert passed == {"balanced_mae": True, "mae": False, "qwk": False}
+    rows = spark.createDataFrame([("balanced_mae", 1.0, 2.0, -1.0), ("mae", 3.0, 2.0, 1.0), ("qwk", 0.5, 0.5, None), ("class_recall_0", 0.5, 0.5, 0.0), ("class_recall_1", 0.6, 0.5, 0.1), ("ece", 0.1, 0.09, 0.01)], "metric string, candidate double, baseline double, delta double")
+    passed = {r.gate: r.passed for r in gates.gates(rows).collect()}
+    assert passed == {"mae": False, "qwk": False, "class_recall_0": False, "class_recall_1": True, "ece": True}
     assert gates.verdict(gates.gates(rows)).first().accepted is False
+    for high, accepted in ((-0.1, True), (0.0, False), (float("nan"), False), (None, False)):
+        interval = spark.createDataFrame([("balanced_mae", high), ("mae", -5.0)], "metric string, high double")
+        assert gates.interval_gate(interval).first().passed is accepted
+    for seeds, accepted in (([(1, 1.0, 2.0), (2, 1.0, 1.5)], True), ([(1, 1.0, 2.0), (2, 2.0, 2.0)], False), ([(1, 1.0, float("nan"))], False), ([], False)):
+        frame = spark.createDataFrame(seeds, "seed int, c double, b double")
+        assert gates.every_seed_gate(frame, "seed", "c", "b").first().passed is accepted
