@@ -196,22 +196,34 @@ def common_shingles(texts: DataFrame) -> Weights:
     def named(batches):
         powers = Powers()
 
-        def flush():
-            keys, count = np.unique(np.concatenate([h for h, _ in seen]), return_counts=True)
-            often = count >= RARE / 2 * len(seen)
-            return pa.RecordBatch.from_arrays([pa.array(np.r_[keys[often].view(np.int64), 0]), pa.array(np.r_[count[often], 0]), pa.array(np.r_[np.zeros(often.sum(), np.int64), len(seen)])], ["h", "n", "docs"])
+        def often(keys, count, docs):
+            hit = count >= RARE / 2 * docs
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[keys[hit].view(np.int64), 0]), pa.array(np.r_[count[hit], 0].astype(np.int64)), pa.array(np.r_[np.zeros(hit.sum(), np.int64), docs])], ["h", "n", "docs"])
 
-        seen, size = [], 0
+        def counted(parts):
+            keys, count = np.unique(np.concatenate(parts), return_counts=True)
+            return keys, count.astype(np.int32), len(parts)
+
+        # A full block waits for the next one: the few documents left at the end would name every shingle, so they join it.
+        seen, size, full = [], 0, None
         for batch in batches:
-            for bag in all_bags(batch.column("text").to_pylist(), powers):
-                if len(bag[0]):
-                    seen.append(bag)
-                    size += len(bag[0])
+            for hashes, _ in all_bags(batch.column("text").to_pylist(), powers):
+                if len(hashes):
+                    seen.append(hashes)
+                    size += len(hashes)
                 if len(seen) >= BLOCK_DOCS or size >= BLOCK_SHINGLES:
-                    yield flush()
+                    if full:
+                        yield often(*full)
+                    full = counted(seen)
                     seen, size = [], 0
-        if seen:
-            yield flush()
+        if seen and full:
+            some, more, docs = counted(seen)
+            keys, at = np.unique(np.concatenate([full[0], some]), return_inverse=True)
+            full = keys, np.bincount(at, np.concatenate([full[1], more])).astype(np.int32), full[2] + docs
+        elif seen:
+            full = counted(seen)
+        if full:
+            yield often(*full)
 
     # Few large blocks, as a block of few documents would name every shingle; joining partitions moves no rows.
     blocks = max(1, texts.count() // BLOCK_DOCS)

@@ -179,6 +179,20 @@ def test_near_duplicates_in_slices(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+@pytest.mark.parametrize("documents", [3, 20, 57])
+def test_common_shingles_in_blocks(spark, monkeypatch, documents):
+    """Weights are exact however the documents fall into blocks, the few left after the last full block included."""
+    for name, value in {"BLOCK_DOCS": 10, "RARE": 0.1}.items():
+        monkeypatch.setattr(near_dup, name, value)
+    r = random.Random(documents)
+    passages = [words(r, 9) for _ in range(12)]
+    texts = [" ".join([words(r, 6), *(p for k, p in enumerate(passages) if r.random() < k / 40)]) for _ in range(documents)]
+    count = collections.Counter(h for keys, _ in near_dup.bags(texts, words_.Powers()) for h in keys.tolist())
+    expected = near_dup.Weights({h: n for h, n in count.items() if n >= near_dup.RARE * documents and n > 1}, documents)
+    got = near_dup.common_shingles(spark.createDataFrame([(t,) for t in [*texts, ""]], "text string").coalesce(1))
+    assert got.keys.tolist() == expected.keys.tolist() and got.value.tolist() == expected.value.tolist()
+
+
 def test_samples_are_consistent():
     """Samples agree as often as bags are similar, in short and long bags and with odd weights; a band as often as four samples."""
     rng, sampler = np.random.default_rng(9), near_dup.Sampler(64, 5)
