@@ -84,9 +84,12 @@ def chunks(texts: list[str], most: int = 1_000_000):
         yield a, len(texts)
 
 
-def all_bags(texts: list[str], powers: Powers):
-    for a, b in chunks(texts):
-        yield from bags(texts[a:b], powers)
+def all_bags(column: pa.Array, powers: Powers, rows: int = 512):
+    """The bags of a column of texts, of which few are Python strings at a time."""
+    for k in range(0, len(column), rows):
+        texts = column.slice(k, rows).to_pylist()
+        for a, b in chunks(texts):
+            yield from bags(texts[a:b], powers)
 
 
 def name_of(bag: Bag) -> bytes:
@@ -196,34 +199,32 @@ def common_shingles(texts: DataFrame) -> Weights:
     def named(batches):
         powers = Powers()
 
-        def often(keys, count, docs):
-            hit = count >= RARE / 2 * docs
-            return pa.RecordBatch.from_arrays([pa.array(np.r_[keys[hit].view(np.int64), 0]), pa.array(np.r_[count[hit], 0].astype(np.int64)), pa.array(np.r_[np.zeros(hit.sum(), np.int64), docs])], ["h", "n", "docs"])
-
-        def counted(parts):
-            keys, count = np.unique(np.concatenate(parts), return_counts=True)
-            return keys, count.astype(np.int32), len(parts)
+        def often(own, docs):
+            own.sort()
+            least = max(1, math.ceil(RARE / 2 * docs))
+            begins = own[: max(0, len(own) - least + 1)] == own[least - 1 :]  # equal to the one that many places on
+            begins[1:] &= own[1 : len(begins)] != own[: max(0, len(begins) - 1)]
+            keys = own[: len(begins)][begins]
+            count = np.searchsorted(own, keys, "right") - np.flatnonzero(begins)
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[keys.view(np.int64), 0]), pa.array(np.r_[count, 0]), pa.array(np.r_[np.zeros(len(keys), np.int64), docs])], ["h", "n", "docs"])
 
         # A full block waits for the next one: the few documents left at the end would name every shingle, so they join it.
-        seen, size, full = [], 0, None
+        buffer, used, docs, full, full_docs = np.empty(2 * BLOCK_SHINGLES, np.uint64), 0, 0, 0, 0
         for batch in batches:
-            for hashes, _ in all_bags(batch.column("text").to_pylist(), powers):
-                if len(hashes):
-                    seen.append(hashes)
-                    size += len(hashes)
-                if len(seen) >= BLOCK_DOCS or size >= BLOCK_SHINGLES:
+            for hashes, _ in all_bags(batch.column("text"), powers):
+                if not len(hashes):
+                    continue
+                if used + len(hashes) > len(buffer):
+                    buffer = np.concatenate([buffer[:used], np.empty(len(hashes) + BLOCK_SHINGLES, np.uint64)])
+                buffer[used : used + len(hashes)] = hashes
+                used, docs = used + len(hashes), docs + 1
+                if docs >= BLOCK_DOCS or used - full >= BLOCK_SHINGLES:
                     if full:
-                        yield often(*full)
-                    full = counted(seen)
-                    seen, size = [], 0
-        if seen and full:
-            some, more, docs = counted(seen)
-            keys, at = np.unique(np.concatenate([full[0], some]), return_inverse=True)
-            full = keys, np.bincount(at, np.concatenate([full[1], more])).astype(np.int32), full[2] + docs
-        elif seen:
-            full = counted(seen)
-        if full:
-            yield often(*full)
+                        yield often(buffer[:full], full_docs)
+                        buffer[: used - full] = buffer[full:used]
+                    used, full, full_docs, docs = used - full, used - full, docs, 0
+        if used:
+            yield often(buffer[:used], full_docs + docs)
 
     # Few large blocks, as a block of few documents would name every shingle; joining partitions moves no rows.
     blocks = max(1, texts.count() // BLOCK_DOCS)
@@ -237,7 +238,7 @@ def common_shingles(texts: DataFrame) -> Weights:
     def exact(batches):
         powers, count = Powers(), np.zeros(len(wanted), np.int64)
         for batch in batches:
-            for hashes, _ in all_bags(batch.column("text").to_pylist(), powers):
+            for hashes, _ in all_bags(batch.column("text"), powers):
                 at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
                 count[at[wanted[at] == hashes]] += 1
         hit = np.flatnonzero(count)
@@ -341,7 +342,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         sampler, powers = Sampler(BANDS * ROWS, 5), Powers()
         for batch in batches:
             rows = []
-            for bag in all_bags(batch.column("text").to_pylist(), powers):
+            for bag in all_bags(batch.column("text"), powers):
                 if len(bag[0]):
                     weight = weights.of(bag)
                     rows.append((name_of(bag), band_keys(sampler.samples(bag[0], weight)).view(np.int64), int(weight.sum())))
@@ -355,7 +356,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         sampler, powers = Sampler(DRAWS, 6), Powers()
         for batch in batches:
             made = []
-            for bag in all_bags(batch.column("text").to_pylist(), powers):
+            for bag in all_bags(batch.column("text"), powers):
                 if len(bag[0]):
                     weight = weights.of(bag)
                     made.append((name_of(bag), packed(bag[0], weight), (sampler.samples(bag[0], weight) >> np.uint64(56)).astype(np.uint8).tobytes()))
