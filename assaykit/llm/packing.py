@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .byte_bpe import chunks_of
 from .common import TwoGenerations, cut, read, text_of
 
-CAPACITY, END_ID, CHUNKS = 1024, 2, 250_000
+CAPACITY, END_ID, CHUNKS = 1024, 2, 50_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
