@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .byte_bpe import chunks_of
 from .common import TwoGenerations, cut, read, text_of
 
-CAPACITY, END_ID, CHUNKS = 1024, 2, 50_000
+CAPACITY, END_ID, CHUNKS = 1024, 2, 250_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -47,7 +47,7 @@ class Tokenizer:
     file's added tokens, is read by the tokenizers library itself, with its defaults.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, chunks: int = CHUNKS):
         self.path, self.own = path, None
         with open(path) as f:
             spec = json.load(f)
@@ -63,7 +63,7 @@ class Tokenizer:
         else:
             usual, self.added, self.encode_ids = False, None, self.library
         self.chunked = usual
-        self.chunk = TwoGenerations(lambda s: np.array(self.encode_ids(" " + s), "<u4").tobytes(), CHUNKS).get
+        self.chunk = TwoGenerations(lambda s: np.array(self.encode_ids(" " + s), "<u4").tobytes(), chunks).get
 
     def library(self, text: str) -> list[int]:
         if self.own is None:
@@ -82,16 +82,16 @@ class Tokenizer:
         return np.array(self.encode_ids(parts[0]), "<u4").tobytes() + b"".join(map(self.chunk, parts[1:]))
 
 
-_TOKENIZERS: dict[str, Tokenizer] = {}
+_TOKENIZERS: dict[tuple[str, int], Tokenizer] = {}
 
 
-def tokenizer(path: str) -> Tokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Tokenizer(path)
-    return _TOKENIZERS[path]
+def tokenizer(path: str, chunks: int = CHUNKS) -> Tokenizer:
+    if (path, chunks) not in _TOKENIZERS:
+        _TOKENIZERS[path, chunks] = Tokenizer(path, chunks)
+    return _TOKENIZERS[path, chunks]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: str = "ids") -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: str = "ids", chunks: int = CHUNKS) -> DataFrame:
     """Documents as pieces of at most ``capacity`` ids; only longer documents are cut, the first piece being the short one.
 
     Columns: doc_id, piece, start, length, the payload (``ids`` array<int> or ``ids_crc32``), and
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """
 
     def run(batches):
-        encode, seen, end = tokenizer(path).ids, np.zeros(capacity + 1, np.int64), np.array([end_id], "<u4").tobytes()
+        encode, seen, end = tokenizer(path, chunks).ids, np.zeros(capacity + 1, np.int64), np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
@@ -165,9 +165,9 @@ def places(patterns: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarra
     return table[:, 0], table[:, 1], table[:, 2]
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: str = "ids") -> DataFrame:
-    """Pieces with the sequence and the offset they go to."""
-    cut_pieces = cut(pieces(docs, path, capacity, end_id, payload))
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: str = "ids", chunks: int = CHUNKS) -> DataFrame:
+    """Pieces with the sequence and the offset they go to; a worker's memo holds twice ``chunks`` chunks."""
+    cut_pieces = cut(pieces(docs, path, capacity, end_id, payload, chunks))
     by_part = cut_pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = by_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))
     totals = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
