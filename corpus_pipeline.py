@@ -15,6 +15,7 @@ from assaykit.llm.common import cut, held_out, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REPEATED_BYTES = 200  #: passages of over 50 words are longer
+MEMO = 50_000  #: chunks in a worker's memo of ids; workers outlive a stage, and so does the memo
 ORACLE_SQL = None
 
 
@@ -56,7 +57,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in sequences of 1024 ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), payload="ids_crc32")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), payload="ids_crc32", chunks=MEMO)
 
 
 STAGES = [
