@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -34,6 +37,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """A function for mapInArrow that keeps no freed memory when a task ends, as Python workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def lean_group(run):
+    """The same for a function for applyInArrow, after each group."""
+
+    @functools.wraps(run)
+    def whole(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        out = run(key, table)
+        give_back()
+        return out
+
+    return whole
+
+
 class TwoGenerations:
     """A bounded memo: when the young half is full it becomes the old half.
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, read, text_of
+from .common import cut, lean, lean_group, read, text_of
 from .words import ODD, Powers, mix, word_hashes
 
 WORDS, SIMILARITY, RARE = 5, 0.8, 1e-3
@@ -228,7 +228,7 @@ def common_shingles(texts: DataFrame) -> Weights:
 
     # Few large blocks, as a block of few documents would name every shingle; joining partitions moves no rows.
     blocks = max(1, texts.count() // BLOCK_DOCS)
-    found = cut(texts.select("text").coalesce(blocks).mapInArrow(named, "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    found = cut(texts.select("text").coalesce(blocks).mapInArrow(lean(named), "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     total = found.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n")).first()["n"]
     wanted = found.where((F.col("n") >= RARE / 2 * total) & (F.col("n") > 1)).select("h").toArrow()  # bounded, see above
     wanted = np.sort(np.asarray(wanted.column("h")).view(np.uint64))
@@ -244,7 +244,7 @@ def common_shingles(texts: DataFrame) -> Weights:
         hit = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(wanted[hit].view(np.int64)), pa.array(count[hit])], ["h", "n"])
 
-    counted = texts.select("text").mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE * total).toArrow()
+    counted = texts.select("text").mapInArrow(lean(exact), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE * total).toArrow()
     return Weights(dict(zip(np.asarray(counted.column("h")).view(np.uint64).tolist(), counted.column("n").to_pylist(), strict=True)), total)
 
 
@@ -373,7 +373,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
             keep = [similarity(unpacked(a), unpacked(b)) >= threshold for a, b in zip(batch.column("bag").to_pylist(), batch.column("other").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sampled = cut(texts.mapInArrow(sample, f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, node binary, bands array<long>, total long"))
+    sampled = cut(texts.mapInArrow(lean(sample), f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, node binary, bands array<long>, total long"))
     nodes = sampled.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("total").alias("total"))
     nodes = cut(nodes.withColumn("n", F.monotonically_increasing_id()))  # fixed from here on, as the rows are written
     places = nodes.select("n", F.explode("bands").alias("band"))
@@ -382,16 +382,16 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     wanted = nodes.join(buckets.select("n").distinct(), "n", "left_semi")
     ids = cut(wanted.select("node", "doc_id"))
     rows = texts.join(ids.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-    made = rows.mapInArrow(bag_of, "node binary, bag binary, sketch binary").join(ids.select("node"), "node", "left_semi")
+    made = rows.mapInArrow(lean(bag_of), "node binary, bag binary, sketch binary").join(ids.select("node"), "node", "left_semi")
     known = cut(made.groupBy("node").agg(F.first("bag").alias("bag"), F.first("sketch").alias("sketch")).join(nodes, "node").select("n", "bands", "total", "sketch", "bag"))
 
     # First each node meets one node.
     near = F.least("total", "all") >= (threshold - 1e-9) * F.greatest("total", "all")
     first = buckets.where("n <> u").select("u", F.col("n").alias("v")).distinct()
     first = first.join(known.select(F.col("n").alias("v"), "sketch", "total"), "v").join(known.select(F.col("n").alias("u"), F.col("sketch").alias("other"), F.col("total").alias("all")), "u")
-    best = first.where(near).mapInArrow(likely, "u long, v long, same int").groupBy("v").agg(F.max_by("u", F.struct("same", "u")).alias("u"))
+    best = first.where(near).mapInArrow(lean(likely), "u long, v long, same int").groupBy("v").agg(F.max_by("u", F.struct("same", "u")).alias("u"))
     both = best.join(known.select(F.col("n").alias("v"), "bag"), "v").join(known.select(F.col("n").alias("u"), F.col("bag").alias("other")), "u")
-    label = components(both.mapInArrow(compare, "u long, v long"))
+    label = components(both.mapInArrow(lean(compare), "u long, v long"))
 
     # Then buckets of several classes are settled.
     member = buckets.select("band", "n").join(known.select("n", F.length("bag").alias("size")), "n").join(label.withColumnRenamed("node", "n"), "n", "left")
@@ -413,7 +413,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
             return bucket_links(table, threshold)
 
         group = F.pmod(F.xxhash64("band", "slice", "block"), F.lit(groups)).alias("group")
-        joined = components(dealt.join(known, "n").select("*", group).groupBy("group").applyInArrow(settle, "u long, v long"))
+        joined = components(dealt.join(known, "n").select("*", group).groupBy("group").applyInArrow(lean_group(settle), "u long, v long"))
         renamed = label.withColumnRenamed("label", "old").join(joined.select(F.col("node").alias("old"), "label"), "old", "left").select("node", F.coalesce("label", "old").alias("label"))
         label = renamed.unionByName(joined.join(label, "node", "left_anti").select("node", "label"))
     classed = nodes.select("n", "node", "doc_id").join(label.withColumnRenamed("node", "n"), "n", "left").select("node", "doc_id", F.coalesce("label", "n").alias("label"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .byte_bpe import chunks_of
-from .common import TwoGenerations, cut, read, text_of
+from .common import TwoGenerations, cut, lean, read, text_of
 
 CAPACITY, END_ID, CHUNKS = 1024, 2, 250_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", payload, "part", "rank"])
 
     kind = "long" if payload == "ids_crc32" else "array<int>"
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, f"doc_id long, piece int, start long, length long, {payload} {kind}, part int, rank long")
+    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(lean(run), f"doc_id long, piece int, start long, length long, {payload} {kind}, part int, rank long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
 
     kind = "long" if payload == "ids_crc32" else "array<int>"
     ranked = cut_pieces.join(before.select("part", "length", "before"), ["part", "length"])
-    return ranked.mapInArrow(run, f"doc_id long, piece int, start long, length long, {payload} {kind}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(run), f"doc_id long, piece int, start long, length long, {payload} {kind}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

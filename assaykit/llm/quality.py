@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Calibrated, fit_rows, held_out, label_share, read, text_of
+from .common import Calibrated, fit_rows, held_out, label_share, lean, read, text_of
 
 PER_CLASS = 1500
 BLOCK, DICTIONARY, LEVEL = 4096, 131_072, 3
@@ -87,7 +87,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, held: Column, threshold: f
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     source = docs.select(*keep) if "text" in keep else docs.select(*keep, text_of(docs).alias("text"))
-    return source.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return source.mapInArrow(lean(run), f"{kinds}, score double, predicted int")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, read, text_of
+from .common import cut, lean, lean_group, read, text_of
 from .words import ODD, Powers, mix
 
 LENGTH = 400
@@ -286,14 +286,14 @@ def repeated_spans(keyed: DataFrame, placed: DataFrame, length: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("seed", "k", "n")), *(pa.array(np.ascontiguousarray(each[c])) for c in MEMBER.names)], ["seed", "k", "n", *MEMBER.names])
 
     # Equal contexts of a batch travel as one row, so a stretch that a third of the texts share is a row a batch.
-    runs = keyed.select("__id", "__mark", "__text").mapInArrow(fingerprint, "seed long, context long, n long, members binary")
+    runs = keyed.select("__id", "__mark", "__text").mapInArrow(lean(fingerprint), "seed long, context long, n long, members binary")
     often = cut(runs.withColumn("k", F.sum("n").over(Window.partitionBy("seed"))).where("k > 1").drop("k"))
     flat = "seed long, k long, n long, id long, mark long, first int, last int, place int"
     classes = often.groupBy("seed", "context").agg(F.sum("n").alias("n"), F.min(F.substring("members", 1, MEMBER.itemsize)).alias("members"))
     several = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    edges = cut(classes.join(several, "seed").select("seed", "k", "n", "members").mapInArrow(told, flat))
+    edges = cut(classes.join(several, "seed").select("seed", "k", "n", "members").mapInArrow(lean(told), flat))
     twice = often.select("seed", "context", "members").join(classes.where("n > 1").select("seed", "context", "n"), ["seed", "context"])
-    whole = twice.select("seed", F.lit(0).cast("long").alias("k"), "n", "members").mapInArrow(told, flat).select("id", "mark", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    whole = twice.select("seed", F.lit(0).cast("long").alias("k"), "n", "members").mapInArrow(lean(told), flat).select("id", "mark", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     facts = edges.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + length), F.lit(0)).alias("n"), F.coalesce(F.max("k"), F.lit(0)).alias("k")).first()
     asked = edges.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list(F.struct("seed", "k", "n", "first", "last", "place")).alias("edges"))  # of one document
 
@@ -333,13 +333,13 @@ def repeated_spans(keyed: DataFrame, placed: DataFrame, length: int) -> DataFram
 
     def matched(rows: DataFrame, size: int) -> DataFrame:
         bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-size // BUCKET_BYTES)))).alias("bucket")
-        return rows.select("*", bucket).groupBy("bucket").applyInArrow(match, "id long, mark long, a int, b int")
+        return rows.select("*", bucket).groupBy("bucket").applyInArrow(lean_group(match), "id long, mark long, a int, b int")
 
-    rows = placed.join(asked, ["__id", "__mark"]).mapInArrow(contexts, CONTEXT_SCHEMA)
+    rows = placed.join(asked, ["__id", "__mark"]).mapInArrow(lean(contexts), CONTEXT_SCHEMA)
     found = whole.unionByName(matched(rows.where(F.col("k") <= MANY), facts["n"]))
     level = rows.where(F.col("k") > MANY).drop("k") if facts["k"] > MANY else None
     while level is not None:  # ends, as places are halved each time
-        level = cut(level.withColumn("k", F.lit(0).cast("long")).mapInArrow(halves, CONTEXT_SCHEMA).drop("k"))
+        level = cut(level.withColumn("k", F.lit(0).cast("long")).mapInArrow(lean(halves), CONTEXT_SCHEMA).drop("k"))
         sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
         level = cut(level.join(sizes, "key"))
         alone = F.col("low") == F.col("high")  # the key is the window: all that have it repeat it
@@ -383,7 +383,7 @@ def split_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] =
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     out = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string" if digests else "kept string, removed array<struct<a:int,b:int>>"
-    return placed.join(spans, ["__id", "__mark"], "left").mapInArrow(run, f"{kinds}, {out}")
+    return placed.join(spans, ["__id", "__mark"], "left").mapInArrow(lean(run), f"{kinds}, {out}")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

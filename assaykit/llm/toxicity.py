@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Calibrated, fit_rows, held_out, label_share, read, text_of
+from .common import Calibrated, fit_rows, held_out, label_share, lean, read, text_of
 
 PER_CLASS = 1800
 BUCKETS, DIM, WINDOW, GRAMS = 1 << 16, 8, 64, (3, 4, 5, 6)
@@ -196,7 +196,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held: Column, threshold:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     source = docs.select(*keep) if "text" in keep else docs.select(*keep, text_of(docs).alias("text"))
-    return source.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return source.mapInArrow(lean(run), f"{kinds}, score double, predicted int")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
