@@ -21,9 +21,23 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
-def cut(df: DataFrame) -> DataFrame:
+FILE_ROWS = 50_000  #: rows of a checkpoint file of a narrow table, where there are more files than cores
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage: the rows go to the shared checkpoint folder, which outlives executors.
 
+    ``rows``, the count of a narrow table (or a bound of it), spares it small files: partitions join, without
+    a shuffle, as far as there are more than one for FILE_ROWS rows and one for each core. Rows do not change.
+    """
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+    return _written(df)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """An eager checkpoint.
+
     The folder is the session's ``spark.checkpoint.dir``. Where that is unset, one is made up on a
     single machine, as in tests; on a cluster, whose machines share no such folder, it is an error.
     """

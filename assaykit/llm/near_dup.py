@@ -254,13 +254,14 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until nothing changes.
     """
     edges, last = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    rows = edges.count()  # steps replace edges, and add at most one a node; it sizes files only
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
+        edges = cut(small.distinct(), rows)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == last:
             break
@@ -375,12 +376,13 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 
     sampled = cut(texts.mapInArrow(lean(sample), f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, node binary, bands array<long>, total long"))
     nodes = sampled.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("total").alias("total"))
-    nodes = cut(nodes.withColumn("n", F.monotonically_increasing_id()))  # fixed from here on, as the rows are written
+    count = sampled.count()
+    nodes = cut(nodes.withColumn("n", F.monotonically_increasing_id()), count)  # fixed from here on, as the rows are written
     places = nodes.select("n", F.explode("bands").alias("band"))
     shared = places.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("u")).where("k > 1").select("band", "u")
-    buckets = cut(places.join(shared, "band"))
+    buckets = cut(places.join(shared, "band"), BANDS * count)
     wanted = nodes.join(buckets.select("n").distinct(), "n", "left_semi")
-    ids = cut(wanted.select("node", "doc_id"))
+    ids = cut(wanted.select("node", "doc_id"), count)
     rows = texts.join(ids.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
     made = rows.mapInArrow(lean(bag_of), "node binary, bag binary, sketch binary").join(ids.select("node"), "node", "left_semi")
     known = cut(made.groupBy("node").agg(F.first("bag").alias("bag"), F.first("sketch").alias("sketch")).join(nodes, "node").select("n", "bands", "total", "sketch", "bag"))
@@ -395,7 +397,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 
     # Then buckets of several classes are settled.
     member = buckets.select("band", "n").join(known.select("n", F.length("bag").alias("size")), "n").join(label.withColumnRenamed("node", "n"), "n", "left")
-    member = cut(member.select("band", "n", F.col("size") + 500, F.coalesce("label", "n").alias("label")).toDF("band", "n", "size", "label"))
+    member = cut(member.select("band", "n", F.col("size") + 500, F.coalesce("label", "n").alias("label")).toDF("band", "n", "size", "label"), BANDS * count)
     by = member.groupBy("band", "label").agg(F.sum("size").alias("size"))
     several = by.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.sum("size").alias("size"), F.max(F.struct("size", "label")).alias("top")).where("labels > 1")
     grid = several.select("band", F.col("top.label").alias("major"), F.ceil(F.col("size") / SLICE).alias("slices"), F.ceil((F.col("size") - F.col("top.size")) / SLICE).alias("blocks"))
