@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import assessment, collections_, records  # noqa: E402, F401
+from . import assessment, collections_, records, reviews  # noqa: E402, F401
