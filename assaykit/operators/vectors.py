@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import dot
 
 STRIDES = (499, 997, 1499, 1999, 2503)  # fixed offsets of the impostor pairs
+RANGES = 64  #: ranges of the key in which positions are counted
 MOST_LEAVES = 5_000
 
 
@@ -19,14 +22,18 @@ def impostor_pairs(rows: DataFrame, key: str, vector: str, strides: tuple[int, .
     """Each row with the rows some strides further on in key order, wrapping: key, other, stride, similarity.
 
     Strides that are multiples of the row count would pair rows with themselves and are left out. The
-    position is counted within ranges of the key and shifted by their sizes.
+    position is counted within ranges of the key and shifted by their sizes. The ranges' ends are taken once and
+    stand in the plan: Spark samples anew for each plan that deals by range, so two plans disagree on the ends.
+    Rows of equal keys are ordered by vector, those without a key come last.
     """
-    n = rows.count()
-    ranged = rows.select(key, vector).repartitionByRange(64, key).withColumn("__p", F.spark_partition_id())
-    parts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("s"))
-    before = parts.select("__p", (F.sum("s").over(Window.orderBy("__p")) - F.col("s")).alias("b"))  # 64 rows
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1
-    placed = ranged.withColumn("i", inside).join(F.broadcast(before), "__p").withColumn("i", F.col("i") + F.col("b")).drop("__p", "b")
+    ranged = rows.where(F.col(key).isNotNull()).select(key).repartitionByRange(RANGES, key).groupBy(F.spark_partition_id().alias("p"))
+    ends = ranged.agg(F.max(key).alias("last"), F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # a row a range
+    n = sum(r["n"] for r in ends) + rows.where(F.col(key).isNull()).count()
+    before = F.array(*(F.lit(b).cast("long") for b in itertools.accumulate((r["n"] for r in ends), initial=0)))
+    lasts = F.array(*(F.lit(r["last"]) for r in ends)) if ends else F.array().cast(f"array<{rows.schema[key].dataType.simpleString()}>")
+    part = F.when(F.col(key).isNull(), len(ends)).otherwise(F.size(F.filter(lasts, lambda end: end < F.col(key))))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(F.asc_nulls_last(key), vector)) - 1
+    placed = rows.select(key, vector, part.alias("__p")).withColumn("i", inside + before[F.col("__p")]).drop("__p")
     wanted = [s for s in strides if n and s % n]
     if not wanted:
         return placed.select(key, F.col(key).alias("other"), F.lit(0).alias("stride"), F.lit(0.0).alias("similarity")).limit(0)

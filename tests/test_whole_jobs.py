@@ -5,9 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assaykit.functions import text as texts
-from assaykit.operators import bootstrap, ranking
+from assaykit.operators import bootstrap, ranking, vectors
 from assaykit.plans import registry
 from assaykit.plans.assessment import rounded, tokens
 
@@ -84,3 +85,16 @@ def test_paired_bootstrap_has_ten_thousand_replicates(spark, sf_dir):
     got = registry.QUERIES["paired_bootstrap"](spark, sf_dir).toPandas()
     whole = rounded(bootstrap.paired_bootstrap(tokens(spark, sf_dir), "speaker", ("score_b", "score"), 10_000)).toPandas()
     assert got.equals(whole)
+
+
+def test_impostor_pairs_of_more_rows_than_ranges_are_sampled_from(spark):
+    n = 30_000
+    rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("k"), F.array(F.col("id") * 0.0, F.lit(1.0)).alias("v")).repartition(3)
+    pairs = vectors.impostor_pairs(rows, "k", "v").where(F.col("other") == (F.col("k") + F.col("stride")) % n)
+    assert pairs.count() == pairs.distinct().count() == n * len(vectors.STRIDES)
+
+
+def test_impostor_pairs_of_equal_and_missing_keys(spark):
+    rows = spark.createDataFrame([(k, [float(i), 1.0]) for i, k in enumerate([5, None, 5, 2, None])], "k long, v array<double>")
+    got = vectors.impostor_pairs(rows, "k", "v", (1, 5)).select("k", "other", "stride").collect()
+    assert sorted((str(r.k), str(r.other)) for r in got) == sorted([("2", "5"), ("5", "5"), ("5", "None"), ("None", "None"), ("None", "2")])
