@@ -98,3 +98,40 @@ def test_impostor_pairs_of_equal_and_missing_keys(spark):
     rows = spark.createDataFrame([(k, [float(i), 1.0]) for i, k in enumerate([5, None, 5, 2, None])], "k long, v array<double>")
     got = vectors.impostor_pairs(rows, "k", "v", (1, 5)).select("k", "other", "stride").collect()
     assert sorted((str(r.k), str(r.other)) for r in got) == sorted([("2", "5"), ("5", "5"), ("5", "None"), ("None", "None"), ("None", "2")])
+
+
+def plain_linkage(x, similarity):
+    """Average linkage by the whole matrix of distances, one join at a time."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    groups = [[k] for k in range(len(x))]
+    d = np.clip(1 - x @ x.T, 0, 2)
+    while len(groups) > 1:
+        between = [(d[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
+        least, i, j = min(between)
+        if least > 1 - similarity:
+            break
+        groups[i] += groups.pop(j)
+    groups = sorted((sorted(g) for g in groups), key=lambda g: (-len(g), g[0]))
+    return {k: c for c, g in enumerate(groups) for k in g}
+
+
+@pytest.mark.parametrize("at_once", [0, 120, 10**6])
+def test_linkage_clusters_on_executors_and_driver(spark, at_once):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(12, 6)), 5, axis=0) + rng.normal(0, 0.4, (60, 6))
+    x[7] = x[3]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(60, None), (61, [0.0] * 6), (62, [float("nan")] + [1.0] * 5)], "k int, v array<double>")
+    for similarity in (0.35, 0.8):
+        got = {r.k: r.cluster for r in vectors.linkage_clusters(rows, "k", "v", similarity, at_once).collect()}
+        plain = plain_linkage(x, similarity)
+        assert {k: got[k] for k in plain} == plain
+        assert len(got) == 63 and sorted(got[k] for k in (60, 61, 62)) == [max(plain.values()) + i for i in (1, 2, 3)]
+
+
+def test_linkage_clusters_of_many_rows_and_ties(spark):
+    """More rows than the whole matrix was made for; all distances in a group are alike."""
+    n, group = 5_400, 18
+    ids = spark.range(n).withColumn("g", F.floor(F.col("id") / group))
+    spike = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda d: F.when(d == 22 + F.pmod("id", F.lit(group)), 0.2).otherwise(F.when(F.abs(d) < 22, F.sin(F.col("g") * (d + 1.0) + d * d)).otherwise(0.0)))
+    got = vectors.linkage_clusters(ids.select("id", spike.alias("v")), "id", "v", 0.9).toPandas()
+    assert len(got) == n and (got.groupby(got.id // group).cluster.nunique() == 1).all()
