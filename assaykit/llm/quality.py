@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Calibrated, fit_rows, held_out, label_share, lean, read, text_of
+from .common import Calibrated, fit_table, fitted, held_out, label_share, lean, read, text_of
 
 PER_CLASS = 1500
 BLOCK, DICTIONARY, LEVEL = 4096, 131_072, 3
@@ -76,7 +76,8 @@ def fit(rows: list[tuple[str, int]], share: float = 0.5) -> tuple[bytes, bytes,
 
 def score_quality(docs: DataFrame, labels: DataFrame, held: Column, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every document with score (higher: good likelier) and predicted."""
-    good, bad, curve = fit(fit_rows(docs, labels, "quality", held, PER_CLASS), label_share(labels, "quality", held))
+    share = label_share(labels, "quality", held)
+    good, bad, curve = fitted(fit_table(docs, labels, "quality", held, PER_CLASS), lambda rows: fit(rows, share))
 
     def run(batches):
         sizes = Sizes(good, bad)

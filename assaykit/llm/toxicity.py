@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Calibrated, fit_rows, held_out, label_share, lean, read, text_of
+from .common import Calibrated, fit_table, fitted, held_out, label_share, lean, read, text_of
 
 PER_CLASS = 1800
 BUCKETS, DIM, WINDOW, GRAMS = 1 << 16, 8, 64, (3, 4, 5, 6)
@@ -185,7 +185,8 @@ def fit(rows: list[tuple[str, int]], share: float = 0.1) -> tuple[np.ndarray, fl
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held: Column, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every document with score (higher: toxic likelier) and predicted."""
-    number, bias, curve = fit(fit_rows(docs, labels, "toxic", held, PER_CLASS), label_share(labels, "toxic", held))
+    share = label_share(labels, "toxic", held)
+    number, bias, curve = fitted(fit_table(docs, labels, "toxic", held, PER_CLASS), lambda rows: fit(rows, share))
 
     def run(batches):
         reader = Reader(number, bias)
