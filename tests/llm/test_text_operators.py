@@ -56,6 +56,43 @@ def test_encoder_equals_library(encoders):
         assert own.decode(byte_bpe.ids_of(joined)) == t.encode()
 
 
+def test_short_pieces_walk_side_by_side(encoders, monkeypatch):
+    """Texts taken together give the library's ids; only pieces of over ``SHORT`` bytes walk alone; small memos and tables turn over."""
+    _, library = encoders
+    own, alone = byte_bpe.Encoder(library._mergeable_ranks, P.PATTERN), []
+    one = own.encode_piece
+    monkeypatch.setattr(own, "encode_piece", lambda piece: alone.append(len(piece)) or one(piece))
+    monkeypatch.setattr(own, "neighbours", byte_bpe.Table(9))
+    monkeypatch.setattr(byte_bpe, "CHUNKS", 150)
+    monkeypatch.setattr(byte_bpe, "TOGETHER", 40)
+    r = random.Random(7)
+    word = lambda most: "".join(r.choice(("th", "ei", "ñ", "sch", "ung", "a", "ß", "中", "on", ".\n", "'ll")) for _ in range(r.randint(1, most)))
+    for most in (6, 6, 90):
+        texts = [" ".join(word(most) for _ in range(r.randint(0, 30))) + r.choice(("", "  ", "\n \n")) for _ in range(60)]
+        assert own.encode_many(texts) == [",".join(map(str, library.encode_ordinary(t))) for t in texts]
+        assert (alone != []) == (most > 6) and all(n > byte_bpe.SHORT for n in alone)
+    assert own.encode_many([]) == [] and own.encode_many(["", "a"]) == ["", own.encode("a")]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_other_ranks(seed):
+    """Vocabularies of random merges, some of whose entries other merges forestall."""
+    import tiktoken
+
+    r = random.Random(seed)
+    entries = [c.encode() for c in "abc "]
+    for _ in range(r.randint(3, 60)):
+        made = r.choice(entries) + r.choice(entries)
+        if made not in entries and b" " not in made[1:]:
+            entries.append(made)
+    ranks = {token: i for i, token in enumerate(entries)}
+    own, library = byte_bpe.Encoder(ranks, P.PATTERN), tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [" ".join("".join(r.choice("abc") for _ in range(r.randint(1, 70))) for _ in range(r.randint(1, 9))) for _ in range(80)]
+    assert own.encode_many(texts) == [",".join(map(str, library.encode_ordinary(t))) for t in texts]
+    with pytest.raises(ValueError):
+        own.encode("aabd")
+
+
 def test_encode_table(spark, encoders):
     frame = docs(spark, ODD_TEXTS)
     got = byte_bpe.encode_table(frame, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
