@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .byte_bpe import chunks_of
-from .common import TwoGenerations, cut, lean, read, text_of
+from .common import TwoGenerations, cut, fewer, joined, lean, read, text_of
 
 CAPACITY, END_ID, CHUNKS = 1024, 2, 250_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -167,7 +167,7 @@ def places(patterns: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarra
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: str = "ids", chunks: int = CHUNKS) -> DataFrame:
     """Pieces with the sequence and the offset they go to; a worker's memo holds twice ``chunks`` chunks."""
-    cut_pieces = cut(pieces(docs, path, capacity, end_id, payload, chunks))
+    cut_pieces = cut(pieces(joined(docs), path, capacity, end_id, payload, chunks))
     by_part = cut_pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = by_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))
     totals = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
@@ -185,6 +185,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
 
     kind = "long" if payload == "ids_crc32" else "array<int>"
     ranked = cut_pieces.join(before.select("part", "length", "before"), ["part", "length"])
+    if payload == "ids_crc32":
+        ranked = fewer(ranked, sum(totals.values()))
     return ranked.mapInArrow(lean(run), f"doc_id long, piece int, start long, length long, {payload} {kind}, sequence_id long, offset long")
 
 

@@ -134,6 +134,32 @@ def test_packing(spark):
     assert packing.pack(frame.limit(0), path).count() == 0
 
 
+def test_packing_writes_few_files(spark, tmp_path):
+    """A small table in many partitions gives four files for each core at most, checkpoint and result, and the same pieces."""
+    from pathlib import Path
+
+    path = P.path("byte_bpe_50k.json")
+    frame = spark.createDataFrame([(i, "word " * (i % 90)) for i in range(400)], "doc_id long, text string")
+    pieces = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    whole = packing.pack(frame.coalesce(1), path, capacity=64, payload="ids_crc32")
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(folder.rglob("part-*"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        many = packing.pack(frame.repartition(99), path, capacity=64, payload="ids_crc32")
+        many.write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(set(folder.rglob("part-*")) - before) <= 16 and len([*(tmp_path / "out").glob("part-*")]) <= 4
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert pieces(rows) == pieces(whole.collect())
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 64
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_each_piece_once_and_wastes_little(seed):
     rng = np.random.default_rng(seed)
